@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact, langid, mixing, secrets, simhash, toxicity
+from pagewright.llm import bpe, exact, langid, mixing, secrets, simhash, toxicity, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.training()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
