@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, exact, langid, mixing, secrets, simhash, toxicity, wrappers
+from pagewright.llm import bpe, embeddings, exact, langid, mixing, secrets, simhash, toxicity, wrappers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
