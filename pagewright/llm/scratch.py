@@ -6,12 +6,16 @@ A lost executor costs a reread, never the run: what is written here is Parquet i
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: dict[str, list[str]] = {}
+#: Tables not yet deleted: application and path, with the owner on whose behalf they were written.
+_OPEN: dict[tuple[str, str], object] = {}
+_OWNER: list[object] = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +49,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        _OPEN.setdefault(self.spark.sparkContext.applicationId, []).append(path)
+        _OPEN[self.spark.sparkContext.applicationId, path] = _OWNER[-1]
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -54,10 +58,21 @@ class Scratch:
             path = self.paths.pop(id(df), None)
             if path:
                 _delete(self.spark, path)
-                _OPEN[self.spark.sparkContext.applicationId].remove(path)
+                _OPEN.pop((self.spark.sparkContext.applicationId, path), None)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes every table still open in this application: call it when all results that read them are written."""
-    for path in _OPEN.pop(spark.sparkContext.applicationId, []):
+@contextlib.contextmanager
+def owned(owner: object) -> Iterator[None]:
+    """Tables written meanwhile belong to owner."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
+def sweep(spark: SparkSession, owner: object) -> None:
+    """Deletes the owner's tables of this application: call it when all results that read them are written."""
+    for app, path in [k for k, v in _OPEN.items() if v is owner and k[0] == spark.sparkContext.applicationId]:
         _delete(spark, path)
+        del _OPEN[app, path]
