@@ -1,10 +1,8 @@
-"""All queries of the reference's operators and their DuckDB counterparts."""
+"""All queries of this package but the training-data ones, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pagewright.plans import box_queries, store_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = store_queries.QUERIES | text_queries.QUERIES | box_queries.QUERIES
+ORACLE = store_queries.ORACLE | text_queries.ORACLE | box_queries.ORACLE
