@@ -17,7 +17,7 @@ def suffix_array(text: list[int]) -> list[int]:
         return list(range(n))
     # a group is a range of the order, named by its first place
     of = [0] * n
-    members: dict[int, list[int]] = {}
+    members: list = [None] * n
     start_of_end = [0] * n
     end_of = [0] * n
     by: dict[int, list[int]] = {}
@@ -40,7 +40,23 @@ def suffix_array(text: list[int]) -> list[int]:
         hit: list[int] = []
         times: list[int] = []
         last = -1
-        for i in members.pop(start):
+        own, members[start] = members[start], None
+        if end == start and len(own) == 1:  # mostly
+            i = own[0]
+            j = i - 1
+            while j >= 0 and of[j] >= start:
+                j = previous[j]
+            previous[i] = j
+            end = start - 1
+            if j >= 0:
+                g = of[j]
+                to = end_of[g]
+                if to != g:
+                    of[j] = start_of_end[to] = end_of[to] = to
+                    members[to] = (j,)
+                    start_of_end[to - 1], end_of[g] = g, to - 1
+            continue
+        for i in own:
             if of[i] != start:
                 continue  # moved away since it was listed
             j = i - 1
@@ -88,17 +104,15 @@ def suffix_array(text: list[int]) -> list[int]:
 
     order = [0] * n
     placed = bytearray(n)
-    free = of  # next free place of a group, found through its first suffix's own entry
-    next_free: dict[int, int] = {}
+    free = list(range(n))  # next free place of a group
     order[0] = n - 1
     placed[n - 1] = 1
     for r in range(n):
         j = order[r] - 1
         while j >= 0 and not placed[j]:
-            g = free[j]
-            p = next_free.get(g, g)
-            order[p] = j
-            next_free[g] = p + 1
+            g = of[j]
+            order[free[g]] = j
+            free[g] += 1
             placed[j] = 1
             j = previous[j]
     return order

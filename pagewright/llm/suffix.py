@@ -37,14 +37,16 @@ from pagewright.llm.arrow import binary
 from pagewright.llm.gsaca import suffix_array
 from pagewright.llm.scratch import Scratch
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 24
 #: Starts of windows that can share an anchor; bytes of a snippet: those before and from the anchor on.
 REACH = WINDOW - GRAM + 1
+#: A window has at least so many bytes beside the gram on one of its sides.
+HALF = (WINDOW - GRAM) // 2
 LEFT, SNIP = REACH - 1, REACH - 1 + WINDOW
 HOT = 256
 #: Bytes that are scanned at once, and snippets that are sorted at once.
-CHUNK, SORTED = 1 << 20, 3_000
-BUCKET_BYTES = 32 << 20
+CHUNK, SORTED = 1 << 18, 2_000
+BUCKET_BYTES = 8 << 20
 _NO_ID = (1 << 63) - 1
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -71,8 +73,9 @@ class Scan:
         self.data = np.frombuffer(b"".join(texts) + bytes(SNIP), np.uint8)
         n = int(self.start[-1])
         h = _TABLE[self.data]
-        for i, have in enumerate((1, 2, 4, 8)):
+        for i, have in enumerate((1, 2, 4)):
             h = h[:-have] * _TIMES[i] + h[have:]
+        h = (h[:-16] * _TIMES[3] + h[8:-8]) * _TIMES[3] + h[16:]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -115,9 +118,9 @@ class Scan:
 
     def content(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of hash of each window's bytes."""
-        parts = [self.hash[starts + o] for o in (0, 16, 32, WINDOW - GRAM)]
-        a, b = parts[0].copy(), parts[3].copy()
-        for p, q in zip(parts[1:], parts[2::-1], strict=True):
+        parts = [self.hash[starts + o] for o in (0, GRAM, WINDOW - GRAM)]
+        a, b = parts[0].copy(), parts[2].copy()
+        for p, q in zip(parts[1:], parts[1::-1], strict=True):
             a = (a ^ (a >> np.uint64(31))) * _TIMES[0] + p
             b = (b ^ (b >> np.uint64(29))) * _TIMES[1] + q
         return a, b
@@ -309,6 +312,16 @@ def _sorted_windows(low: np.ndarray, snip: np.ndarray, l_: np.ndarray, r_: np.nd
     return mask
 
 
+def _alike(low: np.ndarray, snip: np.ndarray) -> np.ndarray:
+    """Snippets that can share a window with another of their anchor: HALF bytes before the gram or behind it agree."""
+    out = np.zeros(len(low), bool)
+    for begin in (LEFT - HALF, LEFT):
+        raw = np.concatenate([np.ascontiguousarray(low.astype(">u4")).view(np.uint8).reshape(-1, 4), snip[:, begin : begin + GRAM + HALF]], 1)
+        _, at, n = np.unique(np.ascontiguousarray(raw).view(f"V{raw.shape[1]}")[:, 0], return_inverse=True, return_counts=True)
+        out |= n[at] > 1
+    return out
+
+
 def covered_masks(entries: np.ndarray) -> np.ndarray:
     """For each entry of a shard, a bit for each window (by its distance to the anchor) that a document with a smaller id has."""
     full = np.uint64((1 << REACH) - 1)
@@ -324,8 +337,9 @@ def covered_masks(entries: np.ndarray) -> np.ndarray:
     size = np.diff([*begin, len(rows)])
     own = np.zeros(len(rows), np.uint64)
     many = np.flatnonzero(np.repeat(size > 1, size))
-    low = rows["low"][many].astype(np.int64)
     snip = np.frombuffer(rows["snip"].tobytes(), np.uint8).reshape(-1, SNIP)
+    many = many[_alike(rows["low"][many], snip[many])]
+    low = rows["low"][many].astype(np.int64)
     a = 0
     while a < len(many):
         b = min(len(many), a + SORTED)
