@@ -59,6 +59,7 @@ class TrieEncoder:
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.recent = Recent()
+        self.code = {t: i.to_bytes(4, "little") for t, i in (self.vocab | self.special).items()}
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The plain merge loop; used only to learn whether a token encodes to itself."""
@@ -96,18 +97,16 @@ class TrieEncoder:
 
     def _fit(self, before: str, token: str) -> bool:
         """Whether token can follow before (empty: stand first): no merge across the border comes before those inside."""
-        if not before:
-            known = self.whole.get(token)
-            if known is None:
-                known = self.whole[token] = self._merged(self._symbols(token)) == [token]
-            return known
-        if not self._fit("", token):
-            return False
         known = self.fits.get((before, token))
+        if known is not None:
+            return known
+        if len(self.fits) >= CACHE_PAIRS:
+            self.fits.clear()
+        known = self.whole.get(token)
         if known is None:
-            if len(self.fits) >= CACHE_PAIRS:
-                self.fits.clear()
-            left, right, i, j, known = self._edge(before, 1), self._edge(token, 0), 0, 0, True
+            known = self.whole[token] = self._merged(self._symbols(token)) == [token]
+        if before and known:
+            left, right, i, j = self._edge(before, 1), self._edge(token, 0), 0, 0
             while known:
                 (x, x_goes), (y, y_goes) = left[i], right[j]
                 across = self.rank.get((x, y), _NEVER)
@@ -118,16 +117,19 @@ class TrieEncoder:
                     i += 1
                 else:
                     j += 1
-            self.fits[before, token] = known
+        self.fits[before, token] = known
         return known
 
     def _last(self, letters: str, at: int, last: list[str], tail: str) -> str:
         """Last token of letters[:at] + tail; last[k] is that of the prefix of k letters."""
-        vocab = self.vocab
+        vocab, fits = self.vocab, self.fits
+        letters = letters[:at] + tail
         for start in range(max(0, at - self.longest), at):
-            token = letters[start:at] + tail
-            if token in vocab and self._fit(last[start], token):
-                return token
+            token = letters[start:]
+            if token in vocab:
+                known = fits.get((last[start], token))
+                if known or known is None and self._fit(last[start], token):
+                    return token
         raise ValueError(f"no token ends {letters[:at]!r}")
 
     def words(self, words: list[str]) -> dict[str, list[str]]:
@@ -203,12 +205,13 @@ def _encoder(path: str) -> TrieEncoder:
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(path), Recent()
+        code = encoder.code.__getitem__
         for batch in pieces(batches, 1):
             texts = binary(batch.column(1)).to_pylist()
             rows = [(t if b"<|" in t else t.lower()).split() for t in texts]  # ASCII letters; a special token has its own case
             new = seen.missing(set().union(*rows))
             for chunk, tokens in encoder.chunks(new).items():
-                seen.young[chunk] = (b"".join([encoder.id(t).to_bytes(4, "little") for t in tokens]), " ".join(tokens).encode())
+                seen.young[chunk] = (b"".join(map(code, tokens)), " ".join(tokens).encode())
             know = seen.young.__getitem__
             rows = [[x for x in map(know, row) if x[0]] for row in rows]
             got = [b"".join([x[0] for x in row]) for row in rows]
