@@ -18,8 +18,8 @@ def binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary())
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the column at index text holds about PIECE_BYTES each."""
+def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the column at index text holds about size bytes each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -27,7 +27,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
 

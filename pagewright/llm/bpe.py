@@ -29,9 +29,9 @@ from tokenizers import Tokenizer
 from pagewright.llm.arrow import binary, lists, pieces
 
 #: Words in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
-CACHE_WORDS = 125_000
+CACHE_WORDS = 100_000
 #: Pairs of tokens whose fit a worker keeps.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 250_000
 
 
 _NEVER = 1 << 60
@@ -206,7 +206,7 @@ def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(path), Recent()
         code = encoder.code.__getitem__
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, 2 << 20):
             texts = binary(batch.column(1)).to_pylist()
             rows = [(t if b"<|" in t else t.lower()).split() for t in texts]  # ASCII letters; a special token has its own case
             new = seen.missing(set().union(*rows))
