@@ -20,21 +20,30 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewright.llm.arrow import binary, lists, pieces
+from pagewright.llm.arrow import pieces
 
 #: Words in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
+#: Text bytes whose distinct words go through one trie.
+PIECE_BYTES = 4 << 20
+#: Letters at the end of a token that tell how long a token may be.
+ENDING = 3
 #: Pairs of tokens whose fit a worker keeps.
 CACHE_PAIRS = 250_000
 
 
 _NEVER = 1 << 60
+#: The byte-level alphabet: bytes that Latin-1 prints stand for themselves, the others for what follows it, in order.
+_SHOWN = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class TrieEncoder:
@@ -51,14 +60,20 @@ class TrieEncoder:
         self.made: dict[str, int] = {}
         for (a, b), i in self.rank.items():
             self.made.setdefault(a + b, i)
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            tail = self.end if token.endswith(self.end) else ""
+            body = token[: len(token) - len(tail)]
+            ends = body[-ENDING:] + tail
+            self.reach[ends] = max(len(body), self.reach.get(ends, 0))
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.library = Tokenizer.from_file(path)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self.word = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.plain = re.compile("[\x21-\x7E\u00A1-\u012F\u0131-\u017F]+").fullmatch  # composed as they stand, each with one lower-case letter
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.recent = Recent()
+        self.recent, self.seen = Recent(), Recent()  # words; texts without white space
         self.code = {t: i.to_bytes(4, "little") for t, i in (self.vocab | self.special).items()}
 
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -124,13 +139,14 @@ class TrieEncoder:
         """Last token of letters[:at] + tail; last[k] is that of the prefix of k letters."""
         vocab, fits = self.vocab, self.fits
         letters = letters[:at] + tail
-        for start in range(max(0, at - self.longest), at):
+        reach = self.reach.get(letters[max(0, at - ENDING) :], ENDING - 1)  # shorter tokens end in fewer letters
+        for start in range(max(0, at - reach), at):
             token = letters[start:]
             if token in vocab:
                 known = fits.get((last[start], token))
                 if known or known is None and self._fit(last[start], token):
                     return token
-        raise ValueError(f"no token ends {letters[:at]!r}")
+        raise ValueError(f"no token ends {letters!r}")
 
     def words(self, words: list[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word, in the byte-level alphabet."""
@@ -152,29 +168,43 @@ class TrieEncoder:
         return out
 
     def _other(self, piece: str) -> list[str]:
-        """Words of a text with other letters than ASCII: the file's normaliser and splitter, whose Unicode tables are the library's own."""
+        """Words of a text with letters beyond Latin: the file's normaliser and splitter, whose Unicode tables are the library's own."""
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
 
-    def chunks(self, chunks: list[bytes]) -> dict[bytes, list[str]]:
-        """Tokens of texts without ASCII white space."""
-        parts, new = {}, set()
-        for chunk in chunks:
-            own: list[str | tuple[str]] = []
-            text = chunk.decode("utf-8", "replace")
-            for i, piece in enumerate(self.split.split(text) if self.split else [text]):
-                if i % 2:
-                    own.append((piece,))
-                elif piece:
-                    own += self.word.findall(piece.lower()) if piece.isascii() and piece.isprintable() else self._other(piece)
-            parts[chunk] = own
-            new.update(w for w in own if isinstance(w, str))
-        fresh = self.words(self.recent.missing(new))
-        known = self.recent.young
-        known.update(fresh)
-        return {c: [t for w in own for t in (known[w] if isinstance(w, str) else w)] for c, own in parts.items()}
+    def _words_of(self, chunk: bytes) -> list[str | bytes]:
+        """Words of a text without white space, and special tokens (as bytes)."""
+        if chunk.isalpha():  # ASCII letters alone
+            return [chunk.lower().decode()]
+        out: list[str | bytes] = []
+        text = chunk.decode("utf-8", "replace")
+        for i, piece in enumerate(self.split.split(text) if self.split else [text]):
+            if i % 2:
+                out.append(piece.encode())
+            elif not piece:
+                continue
+            elif self.plain(piece):
+                words = self.word.findall(piece.lower())
+                out += words if piece.isascii() else [w.encode().decode("latin-1").translate(_ALPHABET) for w in words]
+            else:
+                out += self._other(piece)
+        return out
 
-    def id(self, token: str) -> int:
-        return self.special.get(token, self.vocab.get(token, -1))
+    def chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids (four bytes each) and decoded text of texts without ASCII white space, in their order."""
+        parts = [self._words_of(c) for c in chunks]
+        new = {w for own in parts for w in own if isinstance(w, str)}
+        code = self.code.__getitem__
+        for word, tokens in self.words(self.recent.missing(new)).items():
+            self.recent.young[word] = (b"".join(map(code, tokens)), " ".join(tokens).encode())
+        known = self.recent.young
+        out = []
+        for own in parts:
+            if len(own) == 1 and isinstance(own[0], str):
+                out.append(known[own[0]])
+            else:
+                got = [known[w] if isinstance(w, str) else (code(w.decode()), w) for w in own]
+                out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])))
+        return out
 
 
 class Recent:
@@ -202,21 +232,40 @@ def _encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each text's chunks begin, which distinct chunk each is, the distinct chunks); chunks have no ASCII white space."""
+    lower = pc.ascii_lower(texts)  # a special token has its own case
+    rows = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, lower))
+    chunks = rows.flatten().dictionary_encode()
+    return rows.offsets.to_numpy(), chunks.indices.to_numpy(), chunks.dictionary.cast(pa.large_binary())
+
+
+def _joined(encoder: TrieEncoder, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Ids and decoded text of each of texts."""
+    seen = encoder.seen
+    begin, which, chunks = _split(texts)
+    chunks = chunks.to_pylist()
+    new = seen.missing(set(chunks))
+    seen.young.update(zip(new, encoder.chunks(new), strict=True))
+    got = list(map(seen.young.__getitem__, chunks))
+    n = np.array([len(ids) // 4 for ids, _ in got], np.int64)
+    pool = np.frombuffer(b"".join([ids for ids, _ in got]), "<i4")
+    told = pa.array([text for _, text in got], pa.binary()).cast(pa.string())
+
+    count = n[which]
+    end = np.concatenate([[0], np.cumsum(count)])
+    ids = pool[np.repeat((np.cumsum(n) - n)[which] - end[:-1], count) + np.arange(end[-1])]
+    full = np.concatenate([[0], np.cumsum(count > 0)])
+    words = pa.ListArray.from_arrays(pa.array(full[begin].astype(np.int32)), told.take(pa.array(which[count > 0])))
+    return pa.ListArray.from_arrays(pa.array(end[begin].astype(np.int32)), pa.array(ids)), pc.binary_join(words, " ")
+
+
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = _encoder(path), Recent()
-        code = encoder.code.__getitem__
-        for batch in pieces(batches, 1, 2 << 20):
-            texts = binary(batch.column(1)).to_pylist()
-            rows = [(t if b"<|" in t else t.lower()).split() for t in texts]  # ASCII letters; a special token has its own case
-            new = seen.missing(set().union(*rows))
-            for chunk, tokens in encoder.chunks(new).items():
-                seen.young[chunk] = (b"".join(map(code, tokens)), " ".join(tokens).encode())
-            know = seen.young.__getitem__
-            rows = [[x for x in map(know, row) if x[0]] for row in rows]
-            got = [b"".join([x[0] for x in row]) for row in rows]
-            text = pa.array([b" ".join([x[1] for x in row]) for row in rows], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(b"".join(got), [len(g) // 4 for g in got]), text], names=["id", "ids", "decoded"])
+        encoder = _encoder(path)
+        for batch in pieces(batches, 1, PIECE_BYTES):
+            ids, decoded = _joined(encoder, batch.column(1).cast(pa.string()).fill_null(""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["id", "ids", "decoded"])
 
     return run
 

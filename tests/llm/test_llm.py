@@ -263,10 +263,10 @@ def test_bpe_unicode():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), bpe.TrieEncoder(path)
-    for c in [*range(1, 0x3000, 7), 0x1F600, 0x3A3, 0x130]:
+    for c in [*range(1, 0x200), *range(0x200, 0x3000, 7), 0x1F600, 0x3A3, 0x130]:
         word = f"a{chr(c)}B<|endoftext|>1's{chr(c)}"
         if not word.isascii() and not any(x.isspace() for x in word):
-            assert [own.id(t) for t in own.chunks([word.encode()])[word.encode()]] == library.encode(word, add_special_tokens=False).ids
+            assert np.frombuffer(own.chunks([word.encode()])[0][0], "<i4").tolist() == library.encode(word, add_special_tokens=False).ids
 
 
 def test_pipeline(spark, docs, rows, tmp_path):
