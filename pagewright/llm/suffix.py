@@ -289,12 +289,18 @@ def _send_snippets(shards: int):
 
 
 def _sorted_windows(low: np.ndarray, snip: np.ndarray, l_: np.ndarray, r_: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """A bit for each offset of each snippet whose window an entry with a smaller id has; by suffix sorting."""
+    """A bit for each offset of each snippet whose window an entry with a smaller id has; by suffix sorting.
+
+    All windows of a snippet hold its whole gram, which goes as one symbol, so equal windows stay equal and others differ.
+    """
     n = len(low)
-    text = np.full((n, SNIP + 1), 1, np.int64)
-    text[:, :SNIP] = snip.astype(np.int64) + 2
+    _, gram = np.unique(np.ascontiguousarray(snip[:, LEFT : LEFT + GRAM]).view(f"V{GRAM}")[:, 0], return_inverse=True)
+    text = np.ones((n, SNIP - GRAM + 2), np.int64)
+    text[:, :LEFT] = snip[:, :LEFT].astype(np.int64) + 2
+    text[:, LEFT] = gram + 258
+    text[:, LEFT + 1 : -1] = snip[:, LEFT + GRAM :].astype(np.int64) + 2
     order = np.array(suffix_array([*text.ravel().tolist(), 0]))
-    v, t = order // (SNIP + 1), order % (SNIP + 1)
+    v, t = order // text.shape[1], order % text.shape[1]
     ok = (v < n) & (t < REACH)
     v, t = v[ok], t[ok]
     o = LEFT - t
