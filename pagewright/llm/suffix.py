@@ -40,12 +40,12 @@ from pagewright.llm.scratch import Scratch
 WINDOW, GRAM = 50, 24
 #: Starts of windows that can share an anchor; bytes of a snippet: those before and from the anchor on.
 REACH = WINDOW - GRAM + 1
-#: A window has at least so many bytes beside the gram on one of its sides.
-HALF = (WINDOW - GRAM) // 2
+#: Ranges of the place of the gram in a window, each of which has a test of its own before sorting.
+STEPS = 4
 LEFT, SNIP = REACH - 1, REACH - 1 + WINDOW
 HOT = 256
 #: Bytes that are scanned at once, and snippets that are sorted at once.
-CHUNK, SORTED = 1 << 18, 2_000
+CHUNK, SORTED = 1 << 18, 500
 BUCKET_BYTES = 8 << 20
 _NO_ID = (1 << 63) - 1
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -319,12 +319,18 @@ def _sorted_windows(low: np.ndarray, snip: np.ndarray, l_: np.ndarray, r_: np.nd
 
 
 def _alike(low: np.ndarray, snip: np.ndarray) -> np.ndarray:
-    """Snippets that can share a window with another of their anchor: HALF bytes before the gram or behind it agree."""
+    """Snippets that can share a window with another of their anchor.
+
+    A shared window has k bytes before the gram and the rest behind it; for k in each of STEPS ranges, what all of them need agrees.
+    """
     out = np.zeros(len(low), bool)
-    for begin in (LEFT - HALF, LEFT):
-        raw = np.concatenate([np.ascontiguousarray(low.astype(">u4")).view(np.uint8).reshape(-1, 4), snip[:, begin : begin + GRAM + HALF]], 1)
-        _, at, n = np.unique(np.ascontiguousarray(raw).view(f"V{raw.shape[1]}")[:, 0], return_inverse=True, return_counts=True)
-        out |= n[at] > 1
+    key = np.ascontiguousarray(low.astype(">u4")).view(np.uint8).reshape(-1, 4)
+    edges = np.linspace(0, REACH, STEPS + 1).astype(int).tolist()
+    for least, most in zip(edges[:-1], edges[1:], strict=True):
+        at = np.flatnonzero(~out)  # the others are in already; their partners, too
+        raw = np.concatenate([key, snip[:, LEFT - least : LEFT + GRAM + REACH - most]], 1)
+        _, group, n = np.unique(np.ascontiguousarray(raw).view(f"V{raw.shape[1]}")[:, 0], return_inverse=True, return_counts=True)
+        out[at] = n[group[at]] > 1
     return out
 
 
