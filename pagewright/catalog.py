@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.plans import box_queries, store_queries, text_queries
+from pagewright.plans import box_queries, rule_queries, store_queries, text_queries
 
-QUERIES = store_queries.QUERIES | text_queries.QUERIES | box_queries.QUERIES
-ORACLE = store_queries.ORACLE | text_queries.ORACLE | box_queries.ORACLE
+QUERIES = store_queries.QUERIES | text_queries.QUERIES | box_queries.QUERIES | rule_queries.QUERIES
+ORACLE = store_queries.ORACLE | text_queries.ORACLE | box_queries.ORACLE | rule_queries.ORACLE

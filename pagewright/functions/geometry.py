@@ -53,3 +53,22 @@ def inset(b: Column, wx: float = 0.15, hy: float = 0.12) -> Column:
     dx, dy = (b["w"] * wx).cast("int"), (b["h"] * hy).cast("int")
     w, h = b["w"] - 2 * dx, b["h"] - 2 * dy
     return F.when((w < 8) | (h < 8), b).otherwise(box(b["x"] + dx, b["y"] + dy, w, h))
+
+
+def is_corner_mark(b: Column, page_w: Column, page_h: Column) -> Column:
+    """A narrow box in the lowest 6 % of the page that hugs one of its sides; never on a page without height."""
+    narrow, side = b["w"] < 0.25 * page_w, (b["x"] < 0.25 * page_w) | (b["x"] + b["w"] > 0.75 * page_w)
+    return (page_h > 0) & (b["y"] > 0.94 * page_h) & side & narrow
+
+
+def is_title(b: Column, kind: Column, text: Column, page_h: Column) -> Column:
+    """Large horizontal lettering, or large vertical lettering with few glyphs for its size; never on a page without height."""
+    sparse = F.try_divide(F.char_length(F.trim(F.coalesce(text, F.lit("")))) * 10000.0, area(b)) < 0.8
+    return (page_h > 0) & (((b["h"] > 0.15 * page_h) & (b["w"] > b["h"])) | ((kind == "vertical") & (area(b) >= 100_000) & sparse))
+
+
+def capacity(w: Column, h: Column, glyph: Column) -> Column:
+    """Glyphs of a height that fit into a box: lines at 1.15 of it, halves to even, each with a quarter more than its width holds; three at least."""
+    g = F.greatest(glyph.cast("int"), F.lit(1))
+    lines = F.greatest(F.bround(F.greatest(h, F.lit(1)) / (1.15 * g)).cast("int"), F.lit(1))
+    return F.greatest((F.greatest(w, F.lit(1)) / g.cast("double") * 1.25 * lines).cast("int"), F.lit(3))

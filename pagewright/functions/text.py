@@ -76,3 +76,13 @@ def numbered_reply(reply: Column, n: Column) -> Column:
     pairs = F.arrays_zip(number.alias("k"), said.alias("v"))
     pick = lambda i: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(pairs, lambda p: p["k"].try_cast("int") == i), lambda p: F.trim(p["v"], F.lit("\"'")))), -1)
     return F.transform(F.sequence(F.lit(1), n), pick)
+
+
+#: Punctuation that is no glyph of a reading, beside white space.
+NO_GLYPH = "、。．，,.！？!?…‥ー〜～「」『』（）()[]【】"
+
+
+def glyph_count(c: Column) -> Column:
+    """Characters but white space and punctuation; null counts none."""
+    marks = "".join("\\" + m if m in ".?()[]!," else m for m in NO_GLYPH)
+    return F.char_length(F.regexp_replace(F.coalesce(c, F.lit("")), rf"[\s\p{{Z}}\x0B\x1C-\x1F\x85{marks}]", ""))

@@ -77,3 +77,11 @@ def sticky_language(pages: DataFrame) -> DataFrame:
     """pages with lang_used: the last language reported so far in the job."""
     w = Window.partitionBy("job_id").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
     return pages.withColumn("lang_used", F.last(F.nullif(F.col("lang"), F.lit("")), True).over(w))
+
+
+def manifest_diff(stored: DataFrame, current: DataFrame, keys: list[str], told: list[str]) -> DataFrame:
+    """keys and change (new, gone, changed) of what differs between two manifests; no rows: what was built from stored still holds."""
+    side = lambda rows, name: rows.select(*keys, F.struct(*told).alias(name))
+    both = side(stored, "_was").join(side(current, "_is"), keys, "full")
+    change = F.when(F.col("_was").isNull(), "new").when(F.col("_is").isNull(), "gone").otherwise("changed")
+    return both.where(~F.col("_was").eqNullSafe(F.col("_is"))).select(*keys, change.alias("change"))
