@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are aligned with one of them (the page of smallest id) by simple tree matching, the largest
-order-preserving map of nodes with equal labels.  Over all pages of the host, a node of that page whose text is nearly
-always the same is template; the others are slots.  The wrapper of a host is the path of the deepest node that holds most
-of the slots' text outside menus, forms and the like.  A page's text is what stands at that path, less its boilerplate.
-
-Only small trees (labels, parents, hashes and lengths of texts) move between executors, never a page.  What a page's own
-markup says (``article``, ``main``) agrees with most wrappers; only hosts whose wrapper says something else are listed.
-The list is broadcast while it has at most LISTED rows, and joined by host beyond.
-
-Defined results: a null or empty page has empty text; a page without url is its own host; a host with one page has no
-wrapper and the page's own markup decides; unclosed and misnested tags are closed as browsers do for paragraphs and list
+order-preserving map of nodes with equal labels, of these one with most equal texts.  Over all different pages of the host,
+a node of that page whose text is nearly always the same, and a text that stands at one path on at least half of the pages,
+is template, unless other texts at its path vary (a paragraph that returns among others is text); the others are slots.  The wrapper of a host is its template texts and the path of the deepest node, above or
+at ``article`` and ``main``, that holds most of the slots' text outside menus, forms and the like.  A page's text is the
+slots at that path, within the main elements that the page names there, less its boilerplate.
+
+Induction moves small trees only (labels, parents, hashes and lengths of texts).  Wrappers are broadcast up to LISTED bytes;
+beyond, pages are joined by host.
+
+Defined results: a null or empty page has empty text; a page without url is its own host.  The page's own markup alone
+decides on hosts with one different page, where nothing varies, and on pages that would lose more than half of their text
+to the template (copies of other pages).  Unclosed and misnested tags are closed as browsers do for paragraphs and list
 items; pages that share an id keep their rows; an empty table gives an empty table; other columns are never read.
 """
 
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.arrow import pieces
 from pagewright.llm.scratch import Scratch
 
-#: Hosts with a wrapper of their own up to which the list is broadcast (some 10 MB).
-LISTED = 100_000
-#: Share of aligned pages that agree on a template node's text, and of the slots' text that a wrapper's node holds.
-SAME, HOLDS = 0.8, 0.6
+#: Bytes of wrappers up to which they are broadcast.
+LISTED = 16 << 20
+#: Share of aligned pages that agree on a template node's text, of a host's pages that hold a template text, and of the slots' text that a wrapper's node holds.
+SAME, COMMON, HOLDS = 0.8, 0.5, 0.6
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _KIND = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -133,40 +135,68 @@ class Page:
         inside = self.under(named) if named else []
         return named if named and any(inside[n] for n, _ in self.blocks()) else {0}
 
-    def text(self, path: str | None = None) -> str:
-        """Text under the nodes at path, or where no node with text is there, under the page's own roots."""
-        blocks = self.blocks()
-        for roots in ([{i for i, p in enumerate(self.paths()) if p == path}] if path else []) + [self.own_roots()]:
-            inside = self.under(roots)
-            got = [t for n, t in blocks if inside[n] and not self.drop[n]]
-            if got:
-                return " ".join(got)
-        return ""
+    def text(self, path: list[int] | None = None, template: frozenset[int] = frozenset()) -> tuple[str, bool]:
+        """Slots under the nodes at path, and whether the wrapper decided; else the text under the page's own roots."""
+        blocks, own = self.blocks(), self.own_roots()
+        inside = self.under(own)
+        marked = [(n, t) for n, t in blocks if inside[n] and not self.drop[n]]
+        if path is not None:
+            paths = self.paths()
+            at = self.under(self.at(path))
+            narrow = {i for i in own if at[i]}
+            at = self.under(narrow) if narrow else at
+            held = [(n, t) for n, t in blocks if at[n] and not self.drop[n]]
+            keys = self.keys(paths) if template else {}
+            got = [t for n, t in held if keys.get(n) not in template]
+            if 2 * sum(map(len, got)) >= sum(len(t) for _, t in held) > 0:
+                return " ".join(got), True
+        return " ".join(t for _, t in marked), False
+
+    def at(self, path: list[int]) -> set[int]:
+        """Nodes whose labels from the top down have the hashes of path."""
+        depth, on = [0], [True]
+        for label, parent in zip(self.label[1:], self.parent[1:], strict=True):
+            depth.append(depth[parent] + 1)
+            on.append(on[parent] and depth[-1] <= len(path) and zlib.crc32(label.encode()) == path[depth[-1] - 1])
+        return {i for i, (d, o) in enumerate(zip(depth, on, strict=True)) if o and d == len(path)}
 
-    def tree(self) -> np.ndarray:
-        """Rows (label, parent, text hash, text length, boilerplate) of the nodes."""
+    def keys(self, paths: list[str]) -> dict[int, int]:
+        """Hashes of the path (upper half) and text (lower half) of each node with text."""
         said: dict[int, list[str]] = {}
         for n, t in self.blocks():
             said.setdefault(n, []).append(t)
-        rows = [(zlib.crc32(x.encode()) >> 1, p, zlib.crc32(" ".join(said[i]).encode()) >> 1 if i in said else 0, sum(map(len, said.get(i, ()))), d) for i, (x, p, d) in enumerate(zip(self.label, self.parent, self.drop, strict=True))]
-        return np.array(rows, "<i4").reshape(-1, 5)
+        return {n: ((zlib.crc32(paths[n].encode()) >> 1) << 32) | zlib.crc32(" ".join(t).encode()) for n, t in said.items()}
+
+    def tree(self) -> np.ndarray:
+        """Rows (label, parent, hash of path and text, text length, boilerplate or 2 for a main element) of the nodes."""
+        size = [0] * len(self.label)
+        for n, t in self.blocks():
+            size[n] += len(t)
+        keys = self.keys(self.paths())
+        rows = [(zlib.crc32(x.encode()), p, keys.get(i, 0), size[i], d or 2 * (x.split(".")[0] in _MAIN)) for i, (x, p, d) in enumerate(zip(self.label, self.parent, self.drop, strict=True))]
+        return np.array(rows, "<i8").reshape(-1, 5)
 
 
 def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Simple tree matching of two trees: pairs of nodes of the largest map that keeps labels, parents and order."""
+    """Simple tree matching of two trees: pairs of nodes of the largest map that keeps labels, parents and order.
+
+    Of equally large maps, one with most equal texts: a matched node counts ONE, and 1 more if the texts agree.
+    """
     la, lb, kids_a, kids_b = a[:, 0].tolist(), b[:, 0].tolist(), _children(a), _children(b)
+    ta, tb = a[:, 2].tolist(), b[:, 2].tolist()
+    one = len(la) + len(lb) + 1
 
     def prefix(x: list[int], y: list[int]) -> int:
-        """Leaves of one label at both starts; matching them is always best."""
+        """Leaves of one label and text at both starts; matching them is always best."""
         k = 0
-        while k < min(len(x), len(y)) and la[x[k]] == lb[y[k]] and not kids_a[x[k]] and not kids_b[y[k]]:
+        while k < min(len(x), len(y)) and la[x[k]] == lb[y[k]] and ta[x[k]] == tb[y[k]] and not kids_a[x[k]] and not kids_b[y[k]]:
             k += 1
         return k
 
     known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def solve(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
-        """(size, matched children) of the best map of two nodes of one label."""
+        """(weight, matched children) of the best map of two nodes of one label."""
         x, y = kids_a[i], kids_b[j]
         k = prefix(x, y)
         pairs = list(zip(x[:k], y[:k], strict=True))
@@ -174,25 +204,25 @@ def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         k = prefix(x[::-1], y[::-1])
         tail = list(zip(x[len(x) - k :], y[len(y) - k :], strict=True))
         x, y = x[: len(x) - k], y[: len(y) - k]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        w = {}
+        ends = sum(one + (ta[s] == tb[t] != 0) for s, t in pairs + tail)
+        w = np.where(a[x, 0][:, None] == b[y, 0][None, :], one + ((a[x, 2][:, None] == b[y, 2][None, :]) & (a[x, 2] != 0)[:, None]), 0)
         for p, s in enumerate(x):
-            for q, t in enumerate(y):
-                got = 0
-                if la[s] == lb[t]:
-                    got = w[p, q] = known[s, t][0] if (s, t) in known else 1
-                best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + got)
+            for q, t in enumerate(y) if kids_a[s] else ():
+                if (s, t) in known:
+                    w[p, q] = known[s, t][0]
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        for p in range(len(x)):
+            np.maximum.accumulate(np.maximum(best[p, 1:], best[p, :-1] + w[p]), out=best[p + 1, 1:])
         p, q, middle = len(x), len(y), []
         while p and q:
-            if best[p][q] == best[p - 1][q]:
+            if best[p, q] == best[p - 1, q]:
                 p -= 1
-            elif best[p][q] == best[p][q - 1]:
+            elif best[p, q] == best[p, q - 1]:
                 q -= 1
             else:
                 p, q = p - 1, q - 1
                 middle.append((x[p], y[q]))
-        pairs += middle[::-1] + tail
-        return 1 + best[len(x)][len(y)] + len(pairs) - len(middle), pairs
+        return one + (ta[i] == tb[j] != 0) + ends + int(best[-1, -1]), pairs + middle[::-1] + tail
 
     depth_a, depth_b = _depths(a), _depths(b)
     by: dict[tuple[int, int], list[int]] = {}
@@ -225,7 +255,7 @@ def _depths(tree: np.ndarray) -> list[int]:
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i4").reshape(-1, 5)
+    return np.frombuffer(data, "<i8").reshape(-1, 5)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,50 +273,63 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, j in match(a, b):
                 x = seen.setdefault((host, i), [0, 0])
                 x[0] += 1
-                x[1] += int(a[i, 2] == b[j, 2])
+                x[1] += int(a[i, 2] == b[j, 2] != 0)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen]), pa.array([n for _, n in seen], pa.int32()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["host", "node", "aligned", "same"])
 
 
-def wrapper_node(tree: np.ndarray, aligned: dict[int, tuple[int, int]]) -> int:
-    """The deepest node that holds most of the slots' text; 0 where nothing varies."""
+def constant(aligned: tuple[int, int], pages: int) -> bool:
+    """Whether a node of the reference page with (pages aligned, pages of the same text) is template."""
+    return aligned[1] >= max(2, SAME * aligned[0], COMMON * pages)
+
+
+def wrapper_node(tree: np.ndarray, aligned: dict[int, tuple[int, int]], pages: int, common: frozenset[int] = frozenset()) -> int:
+    """The deepest node, not under a main element, that holds most of the slots' text; -1 where nothing varies."""
     slots = np.zeros(len(tree))
-    for i, (label, parent, said, size, drop) in enumerate(tree.tolist()):
-        pages, same = aligned.get(i, (0, 0))
-        if size and not drop and not (pages >= 2 and same >= SAME * pages):
+    for i, (_, _, said, size, drop) in enumerate(tree.tolist()):
+        if size and drop != 1 and said not in common and not constant(aligned.get(i, (0, 0)), pages):
             slots[i] = size
     for i in range(len(tree) - 1, 0, -1):
         slots[tree[i, 1]] += slots[i]
+    if not slots[0]:
+        return -1
     node, kids = 0, _children(tree)
     while True:
         held = [k for k in kids[node] if slots[k] >= HOLDS * slots[0] and kids[k]]
-        if not held or not slots[0]:
+        if not held or tree[node, 4] == 2:
             return node
         node = held[0]
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node): the wrapper's node in the reference page."""
-    for batch in batches:
-        host, ref, nodes = (c.to_pylist() for c in batch.columns)
-        node = [wrapper_node(_unpack(r), {x["node"]: (x["aligned"], x["same"]) for x in n}) for r, n in zip(ref, nodes, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int32())], names=["host", "node"])
+def _labels(tree: np.ndarray, node: int) -> list[int]:
+    out = []
+    while node > 0:
+        out.append(int(tree[node, 0]))
+        node = int(tree[node, 1])
+    return out[::-1]
 
 
-def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path) of wrappers that say something else than the reference page's own markup."""
+def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, path, template): hashed labels down to the wrapper's node, and hashes of the template texts; nothing where nothing varies."""
     for batch in batches:
         out = []
-        for host, node, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            page = Page(source or "")
-            own = page.own_roots()
-            up, above = node, set()
-            while up >= 0:
-                above.add(up)
-                up = page.parent[up]
-            if node and own == {0} and not (above - {0}) <= {i for i, x in enumerate(page.label) if x.split(".")[0] in ("html", "body")}:
-                out.append((host, page.paths()[node]))
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string())], names=["host", "path"])
+        for host, n, ref, nodes, common in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            tree, aligned, common = _unpack(ref), {x["node"]: (x["aligned"], x["same"]) for x in nodes}, frozenset(common or ())
+            node = wrapper_node(tree, aligned, n, common)
+            if node >= 0:
+                said = {i: int(k) for i, k in enumerate(tree[:, 2]) if k}
+                varying = {k >> 32 for i, k in said.items() if not constant(aligned.get(i, (0, 0)), n)}
+                own = {k for k in said.values() if k >> 32 not in varying}
+                out.append((host, _labels(tree, node), sorted(common | own)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["host", "path", "template"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, key): each text of a page once, with its path."""
+    for batch in batches:
+        host, tree = (c.to_pylist() for c in batch.columns)
+        keys = [np.unique(x[:, 2][x[:, 2] != 0]) for x in map(_unpack, tree)]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, k in zip(host, keys, strict=True) for _ in range(len(k))], pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], names=["host", "key"])
 
 
 def _host(url, id_):
@@ -295,38 +338,45 @@ def _host(url, id_):
 
 
 def induce(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """host, path: the wrapper of each host whose pages' own markup doesn't name it."""
+    """host, path, template: the wrapper of each host with several different pages on which something varies."""
     scratch = Scratch(pages.sparkSession)
     keyed = pages.select(_host(F.col(url), F.col(id_)).alias("host"), F.col(id_).cast("long").alias("id"), F.col(html).alias("html"))
-    trees = scratch.cut(keyed.mapInArrow(_trees, "host string, id long, tree binary"))
-    refs = scratch.cut(trees.groupBy("host").agg(F.min(F.struct("id", "tree")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", F.col("m.id").alias("ref_id"), F.col("m.tree").alias("ref")))
+    trees = scratch.cut(keyed.mapInArrow(_trees, "host string, id long, tree binary").groupBy("host", "tree").agg(F.min("id").alias("id")))
+    refs = scratch.cut(trees.groupBy("host").agg(F.min(F.struct("id", "tree")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("host", "n", F.col("m.tree").alias("ref")))
     seen = trees.join(refs, "host").select("host", "tree", "ref").mapInArrow(_align, "host string, node int, aligned long, same long")
     seen = seen.groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
     nodes = seen.groupBy("host").agg(F.collect_list(F.struct("node", "aligned", "same")).alias("nodes"))  # at most the nodes of one page
-    found = scratch.cut(refs.join(nodes, "host").select("host", "ref", "nodes").mapInArrow(_induce, "host string, node int"))
-    # a host differs only if its reference page names no main element; those pages alone are read again
-    plain = keyed.where(~F.coalesce(F.col("html"), F.lit("")).rlike(r"(?i)<(article|main)[\s>]"))
-    wanted = plain.join(refs.select(F.col("host").alias("h"), "ref_id"), (F.col("host") == F.col("h")) & (F.col("id") == F.col("ref_id")))
-    wanted = wanted.groupBy("host").agg(F.min("html").alias("html"))
-    out = scratch.cut(found.join(wanted, "host").select("host", "node", "html").mapInArrow(_differing, "host string, path string"))
-    scratch.drop(trees, refs, found)
+    told = trees.select("host", "tree").mapInArrow(_keys, "host string, key long").groupBy("host", "key").count().join(refs.select("host", "n"), "host")
+    often = (F.col("count") > 1) & (F.col("count") >= COMMON * F.col("n"))
+    told = told.groupBy("host", F.shiftright("key", 32).alias("at")).agg(F.sum("count").alias("all"), F.sum(F.when(often, F.col("count"))).alias("often"), F.collect_list(F.when(often, F.col("key"))).alias("keys"))
+    told = told.where(F.col("often") >= SAME * F.col("all")).groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("common"))  # at most the texts of two pages
+    found = refs.join(nodes, "host").join(told, "host", "left").select("host", "n", "ref", "nodes", "common")
+    out = scratch.cut(found.mapInArrow(_induce, "host string, path array<long>, template array<long>"))
+    scratch.drop(trees, refs)
     return out
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """id_, url and text, one row for each row of pages."""
+def _read(pages: DataFrame, html: str, url: str, id_: str) -> DataFrame:
+    """id, url, text and wrapped (whether the wrapper decided), one row for each row of pages."""
     wrappers = induce(pages, html, url, id_)
     keyed = pages.select(F.col(id_).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url), F.col(id_)).alias("host"))
-    listed = wrappers.count()
-    if listed:
-        keyed = keyed.join(F.broadcast(wrappers) if listed <= LISTED else wrappers, "host", "left")
-    else:
-        keyed = keyed.withColumn("path", F.lit(None).cast("string"))
+    listed = wrappers.agg(F.sum(64 + 8 * (F.size("path") + F.size("template")))).first()[0] or 0
+    keyed = keyed.join(F.broadcast(wrappers) if listed <= LISTED else wrappers, "host", "left")
     kind = dict(pages.dtypes)[id_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            text = [Page(t or "").text(p) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["id", "url", "text"])
+            got = [Page(t or "").text(p, frozenset(k or ())) for t, p, k in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_())], names=["id", "url", "text", "wrapped"])
+
+    return keyed.select("id", "url", "html", "path", "template").mapInArrow(run, f"id {kind}, url string, text string, wrapped boolean")
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
+    """id_, url and text, one row for each row of pages."""
+    return _read(pages, html, url, id_).drop("wrapped").withColumnRenamed("id", id_)
+
 
-    return keyed.select("id", "url", "html", "path").mapInArrow(run, f"id {kind}, url string, text string").withColumnRenamed("id", id_)
+def decided(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
+    """wrapped and pages: how many pages the wrapper of their host decided, and how many their own markup."""
+    return _read(pages, html, url, id_).groupBy("wrapped").agg(F.count(F.lit(1)).alias("pages"))

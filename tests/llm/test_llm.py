@@ -197,6 +197,20 @@ def test_pages(spark):
     assert (got[10]["text"], got[11]["text"], got[12]["text"]) == ("A b c de", "", "")
 
 
+def test_pages_template(spark):
+    """What repeats over a host inside article goes, wherever it stands; copies and lone pages keep their text."""
+    page = lambda i, k: "<html><body><article><h1>Title {0}</h1>{1}<div class='x'>Read our offers</div>{2}<section class='y'><p>Support us today</p></section></article></body></html>".format(i, f"<p>lead {i}</p>" * (i % 3), "".join(f"<p>Body {i} {j} of some length</p>" for j in range(k)))
+    rows = [(i, f"http://h.example/{i}", page(i, 2 + i % 4)) for i in range(8)] + [(8, "http://h.example/8", page(7, 2 + 7 % 4))]
+    rows += [(20 + i, f"http://copy.example/{i}", page(5, 3)) for i in range(3)] + [(30, "http://one.example/", page(1, 2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = by(wrappers.extract(df), "page_id")
+    for i in range(9):
+        k = min(i, 7)
+        assert got[i]["text"] == " ".join([f"Title {k}", *[f"lead {k}"] * (k % 3), *[f"Body {k} {j} of some length" for j in range(2 + k % 4)]])
+    assert all("Support us today" in got[i]["text"] for i in (20, 21, 22, 30))
+    assert {r["wrapped"]: r["pages"] for r in wrappers.decided(df).collect()} == {True: 9, False: 4}
+
+
 def test_tree_match():
     a, b = wrappers.Page("<ul><li>1<li>2</ul><p>x").tree(), wrappers.Page("<ul><li>1<li>2<li>3</ul><div>y</div><p>x").tree()
     assert len(wrappers.match(a, b)) == 5
