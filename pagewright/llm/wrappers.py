@@ -22,6 +22,7 @@ import html as _html
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,24 @@ _MAIN = frozenset("article main".split())
 _BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list cookie cookies consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary alert".split())
 
 
+#: Words of a name that say how a page is laid out, last words of names of the article, and words of the article whose heading is its own.
+_LAYOUT = frozenset("has is no not with without hide show".split())
+_HOLDER = frozenset("article body container content entry free layout less main page post section story text wrap wrapper".split())
+_HEADED = frozenset("article chapter content entry post section story".split())
+_WHOLE = frozenset("html body article main".split())
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+
+
+@lru_cache(maxsize=10_000)
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class, id or role of several words, split at hyphens, underscores and case changes, holds a boilerplate word and isn't the article's own."""
+    words = [w.lower() for w in _PART.findall(name)]
+    if len(words) < 2 or not _LAYOUT.isdisjoint(words) or words[-1] in _HOLDER:
+        return False
+    own = {"header", "masthead", "banner"} if not _HEADED.isdisjoint(words) else set()
+    return any(w in _BOILERPLATE and w not in own for w in words)
+
+
 class Page:
     """Block elements of a page in page order: label, parent, own text pieces, whether it is boilerplate."""
 
@@ -80,8 +99,9 @@ class Page:
             if name == "br" or name == "hr":
                 self._text(stack[-1][0], " ")
                 continue
-            kind = " ".join(x for k in _KIND.findall(m[3]) for x in k if x).lower() if "=" in m[3] else ""
-            bad = name in _NOT_TEXT or bool(kind and not _BOILERPLATE.isdisjoint(re.split(r"[\s_]+", kind)))
+            said = " ".join(x for k in _KIND.findall(m[3]) for x in k if x) if "=" in m[3] else ""
+            kind = said.lower()
+            bad = name in _NOT_TEXT or bool(kind and (not _BOILERPLATE.isdisjoint(re.split(r"[\s_]+", kind)) or name not in _WHOLE and any(map(_names_boilerplate, said.split()))))
             if name in _VOID or name in _INLINE and not bad:
                 continue
             if name in _CLOSES_P and stack[-1][1] == "p" or name == "li" and stack[-1][1] == "li":

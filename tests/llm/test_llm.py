@@ -211,6 +211,17 @@ def test_pages_template(spark):
     assert {r["wrapped"]: r["pages"] for r in wrappers.decided(df).collect()} == {True: 9, False: 4}
 
 
+def test_pages_names():
+    """Boilerplate names of several words go, on lone pages too; names of the article itself stay."""
+    bad = "ad-slot cookie-banner sidebar-left post-comments comments-area related-posts site-header postComments siteHeader left_sidebar AdSlot"
+    good = "post-header entry-header article-header content-with-sidebar has-sidebar no-ads ad-free comments-free share-text header-less page-content widget-wrapper adagio shared"
+    for names, keeps in ((bad, False), (good, True)):
+        for name in names.split():
+            for page in ("<article><p>One</p><div class='{}'>two</div></article>", "<p>One</p><div id='{}'>two</div>"):
+                assert wrappers.Page(page.format(name)).text()[0] == ("One two" if keeps else "One"), name
+    assert wrappers.Page("<body class='ads-on'><article class='post sponsor-post'><p>One</p></article></body>").text()[0] == "One"
+
+
 def test_tree_match():
     a, b = wrappers.Page("<ul><li>1<li>2</ul><p>x").tree(), wrappers.Page("<ul><li>1<li>2<li>3</ul><div>y</div><p>x").tree()
     assert len(wrappers.match(a, b)) == 5
