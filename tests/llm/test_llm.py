@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, embeddings, exact, gsaca, langid, mixing, secrets, simhash, suffix, toxicity, wrappers
+from pagewright.llm import bpe, embeddings, exact, gsaca, langid, mixing, secrets, shingles, simhash, suffix, toxicity, wrappers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size long"
 
@@ -294,6 +294,44 @@ def test_bpe_unicode():
             assert np.frombuffer(own.chunks([word.encode()])[0][0], "<i4").tolist() == library.encode(word, add_special_tokens=False).ids
 
 
+def _five(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_stage(spark, docs, rows):
+    """Copies with edited words, chains of them, a passage that many texts share, null and repeated ids."""
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts, passage = [r[1] for r in rows], [word() for _ in range(30)]
+    for _ in range(12):
+        t = [word() for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(t))
+        for _ in range(5):
+            t = t.copy()
+            for _ in range(max(1, len(t) // 60)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    texts += [" ".join(passage + [word() for _ in range(k)]) for k in range(3, 40)]
+    table = [(None if i % 17 == 0 else i - i % 2, t) for i, t in enumerate(texts)]
+    sets = [_five(t) for _, t in table]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = _reach(len(sets), links)
+    want = {}
+    for i, (d, t) in enumerate(table):
+        want.setdefault(root[i], []).append((d is None, d or 0, t or ""))
+    got = P.near_copies(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(3), "").collect()
+    assert len(links) > 100 and len({norm(r["text"]) for r in got}) <= len(got)
+    left = {}
+    for r in got:
+        group = next(root[i] for i, (d, t) in enumerate(table) if (t or "") == (r["text"] or ""))
+        left.setdefault(group, set()).add(r["text"] or "")
+    assert {g: len(t) for g, t in left.items()} == {g: 1 for g in want}
+    assert all(min(want[g])[:2] in {x[:2] for x in want[g] if x[2] in t} for g, t in left.items())
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as P
 
