@@ -11,6 +11,7 @@ a label; ties go to the smaller label; rows are never merged; the table's other
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ UNKNOWN = "und"
 
 
 def _fold() -> np.ndarray:
-    """A symbol of 6 bits for each 16-bit code point: 0 for all but letters, a to z apart, other letters hashed."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
+    """A symbol of 6 bits for each code point: 0 for all but letters, a to z apart, other letters hashed."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for c in range(sys.maxunicode + 1):
         if chr(c).isalpha():
             out[c] = c - 96 if 97 <= c <= 122 else 27 + c * 31 % 37
     return out
@@ -46,7 +47,7 @@ def trigrams(text: str) -> np.ndarray:
         _FOLD.append(_fold())
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     s = np.zeros(len(codes) + 2, np.uint32)
-    s[1:-1] = _FOLD[0][codes & 0xFFFF]
+    s[1:-1] = _FOLD[0][codes]
     tri = s[:-2] << 12 | s[1:-1] << 6 | s[2:]
     return (tri[tri > 0] * np.uint32(2654435761)) >> np.uint32(17)
 
