@@ -234,9 +234,10 @@ def _encoder(path: str) -> TrieEncoder:
 
 def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(where each text's chunks begin, which distinct chunk each is, the distinct chunks); chunks have no ASCII white space."""
-    lower = pc.ascii_lower(texts)  # a special token has its own case
-    rows = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, lower))
-    chunks = rows.flatten().dictionary_encode()
+    rows = pc.ascii_split_whitespace(texts)
+    chunks = rows.flatten()
+    early = pc.and_(pc.string_is_ascii(chunks), pc.invert(pc.match_substring(chunks, "<|")))  # others are composed before; a special token has its own case
+    chunks = pc.if_else(early, pc.ascii_lower(chunks), chunks).dictionary_encode()
     return rows.offsets.to_numpy(), chunks.indices.to_numpy(), chunks.dictionary.cast(pa.large_binary())
 
 
