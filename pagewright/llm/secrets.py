@@ -30,7 +30,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_ANY = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Base64 with line breaks, as keys are wrapped: an encoded DER sequence begins with M, an OpenSSH key or field with A or b3BlbnNzaC.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9_-]|AAAA|b3BlbnNzaC)[A-Za-z0-9+/_-]{22,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9_-]|AAAA|b3BlbnNzaC)[A-Za-z0-9+/_-]{22,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*")
+_PAD = re.compile(r"(?:\r?\n)?=")
+_MORE = re.compile(r"={0,2}(?!-----)[A-Za-z0-9+/_=-]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -104,6 +107,56 @@ def _kind(data: bytes) -> str | None:
     return "der" if len(data) >= 16 and is_der(data) else "openssh" if len(data) >= 16 and is_openssh(data) else None
 
 
+def _encoded(text: str, start: int) -> tuple[int, str] | None:
+    """(end, kind) of the key whose Base64 begins at start; its own lengths say how far it goes, over line ends."""
+    head = _decoded(text[start : start + 24])
+    if text[start] == "M":
+        size = _der_length(head, 1)
+        sizes = [sum(size)] if head[0] == 0x30 and size else []
+        run = _RUN.match(text, start, start + 4 * sizes[0] + 8)[0] if sizes else ""
+    elif re.match(rb"\0\0\0[\x04-\x60](?:ssh|ecdsa|sk)-|openssh-key-v1\0", head):
+        run = _RUN.match(text, start)[0].rstrip("\r\n-")
+        sizes = _openssh_sizes(_decoded(run))
+    else:
+        return None
+    lines, at, ends = [], 0, []  # where each line begins in run, and how many symbols come before it
+    for line in re.finditer(r"[^\r\n]+", run):
+        lines.append(line[0])
+        ends.append((at, line.start()))
+        at += len(line[0])
+    symbols = "".join(lines)
+    for size in reversed(sizes):
+        n = (4 * size + 2) // 3
+        if size < 16 or n > len(symbols):
+            continue
+        before, begin = next(x for x in reversed(ends) if x[0] < n)
+        end = start + begin + n - before
+        if _MORE.match(text, end) and not (n % 4 and re.match(rf"={{{-n % 4}}}(?![A-Za-z0-9+/_=])", text[end : end + 4])):
+            continue
+        if kind := _kind(_decoded(symbols[:n])):
+            while n % 4 and (pad := _PAD.match(text, end)):
+                n, end = n + 1, pad.end()
+            return end, kind
+    return None
+
+
+def _openssh_sizes(data: bytes) -> list[int]:
+    """Numbers of bytes after which an OpenSSH key may end: a private key's own, or after any field of a public key."""
+    private = data.startswith(b"openssh-key-v1\0")
+    at, out, fields = 15 if private else 0, [], 0
+    most = 1 << 30
+    while at + 4 <= len(data) and fields < most:
+        size = int.from_bytes(data[at : at + 4], "big")
+        if private and fields == 3 and most == 1 << 30:
+            most, at = 3 + min(size, 1 << 20) + 1, at + 4  # how many public keys follow, then the private part
+            continue
+        if at + 4 + size > len(data):
+            break
+        at, fields = at + 4 + size, fields + 1
+        out.append(at)
+    return (out[-1:] if fields == most else [len(data)]) if private else out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded contents have the structure of a key or signed token."""
     out = []
@@ -115,9 +168,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 continue
             if isinstance(head, dict) and isinstance(head.get("alg"), str):
                 out.append((m.start(), m.end(), "jwt"))
+    done = 0
     for m in _BASE64.finditer(text):
-        if kind := _kind(_decoded(m[0])):
-            out.append((m.start(), m.end(), kind))
+        if m.start() >= done and (found := _encoded(text, m.start())):
+            out.append((m.start(), *found))
+            done = found[0]
     for m in _HEX_ANY.finditer(text):
         if text.startswith(("30", "00", "6f"), m.start()) and (kind := _kind(bytes.fromhex(m[0]))):
             out.append((m.start(), m.end(), kind))

@@ -112,6 +112,28 @@ def test_secrets():
     assert [k for *_, k in secrets.secret_spans(ssh)] == ["openssh"]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_secrets_wrapped(end):
+    """PEM bodies of all lengths modulo 48, padded or not, and one-line keys before a word."""
+    import base64
+
+    wrap = lambda s, k=64: end.join(s[i : i + k] for i in range(0, len(s), k))
+    for k in range(100, 350):
+        body = b"\x02\x01\x00\x04" + (bytes([k - 20]) if k < 148 else b"\x81" + bytes([k - 20]) if k < 276 else b"\x82" + (k - 20).to_bytes(2, "big")) + bytes((7 * i) % 251 for i in range(k - 20))
+        size = bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)]) if len(body) < 256 else b"\x82" + len(body).to_bytes(2, "big")
+        der = base64.b64encode(b"\x30" + size + body).decode()
+        for key in (wrap(der), der):
+            for bare in (key, key.rstrip("=")):
+                for before, after in ((f"-----BEGIN PRIVATE KEY-----{end}", f"{end}-----END PRIVATE KEY-----"), ("see ", f"{end}next"), ("", ""), ("", f"{end}AB there")):
+                    text = before + bare + after
+                    assert [(a, b) for a, b, t in secrets.secret_spans(text) if t == "der"] == [(len(before), len(before) + len(bare))], text
+        assert [t for *_, t in secrets.secret_spans(der.rstrip("=") + "AAAA") if t == "der"] == []
+        part = lambda b: len(b).to_bytes(4, "big") + b
+        ssh = wrap(base64.b64encode(b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + b"\0\0\0\1" + part(bytes(51)) + part(bytes(k))).decode(), 70)
+        for bare in (ssh, ssh.rstrip("=" + end)):
+            assert [(a, b) for a, b, t in secrets.secret_spans(f"-----BEGIN OPENSSH PRIVATE KEY-----{end}{bare}{end}-----END") if t == "openssh"] == [(35 + len(end), 35 + len(end) + len(bare))]
+
+
 def test_secrets_table(docs, rows):
     got = by(secrets.scan_secrets(docs))
     assert {i: len(got[i]["spans"]) for i in got} == {r[0]: len(secrets.secret_spans(r[1] or "")) for r in rows}
@@ -148,6 +170,12 @@ def test_language(docs, rows):
     assert all((got[r[0]]["lang_pred"] == "und") == (not any(c.isalpha() for c in r[1] or "")) for r in rows)
 
 
+def test_language_astral():
+    model = langid.Mixture(["aa", "bb"], np.ones((2, langid.CELLS)))
+    assert model.proportions(chr(0x1E922) * 5) and model.proportions(chr(0x10330) * 5) and model.proportions(chr(0x20000))
+    assert model.proportions("".join(map(chr, range(0x1F900, 0x1FA00)))) == {}
+
+
 def test_language_held_out(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
@@ -332,6 +360,20 @@ def test_near_stage(spark, docs, rows):
     assert all(min(want[g])[:2] in {x[:2] for x in want[g] if x[2] in t} for g, t in left.items())
 
 
+def test_bpe_composed(spark):
+    """Capitals that compose with a mark only in lower case, whole and within words."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, pairs = Tokenizer.from_file(path), ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [*pairs, *[f"aB{p}C <|endoftext|> {p}{p.lower()} PLAIN" for p in pairs], " ".join(pairs)]
+    got = by(bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    for i, t in enumerate(texts):
+        want = library.encode(t, add_special_tokens=False)
+        assert (got[i]["ids"], got[i]["decoded"]) == (want.ids, library.decode(want.ids, skip_special_tokens=False))
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     import corpus_pipeline as P
 
