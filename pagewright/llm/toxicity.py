@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words and word beginnings.  The vocabulary is fitted on the labelled sample: terms that toxic examples hold more
-often than others beyond chance.  Labelled examples with equal vectors are one entry with counts.  Postings of a term are
-cut into blocks of entries with their greatest weight; the sum of these over a query's terms bounds every score in a
-block, and blocks that cannot reach the k-th best score are never scored, so the k nearest are exact.
+Terms are words and word beginnings, all that the labelled sample has.  A term weighs by its inverse document frequency,
+and more where toxic examples hold it more often than others beyond chance (times the standard deviations, 1 at least).
+Labelled examples with equal vectors are one entry with counts.  Rare terms' postings are added up; common terms' are cut
+into blocks of entries with their greatest weight, and what these can add bounds every score in a block.  Entries that
+cannot reach the k-th best score are never completed, so the k nearest are exact.
 
 The score is a vote of the nearest, each weighing by closeness and count, drawn towards the share of toxic examples by
 PRIOR votes; the nearest are returned as evidence.  A document without a vocabulary term is nearest to the examples
 without one and gets their share.
 
-Bounds: at most ``max_labelled`` labelled rows (those of least hash of the id) are learned from, and MOST_TERMS terms.
+Bounds: at most ``max_labelled`` labelled rows (those of least hash of the id) are learned from.
 
 Defined results: a null text counts as empty; an example labelled more than once counts as toxic if any label is 1; rows
 without a label, or whose text is missing, are not learned from; without examples every score is 0; ties in similarity go
@@ -20,25 +21,28 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import pieces
 
 MAX_LABELLED = 20_000
-MOST_TERMS = 512
-#: Standard deviations by which a term's share among toxic examples must exceed its share among all, and least examples.
-LEAST_Z, LEAST_EXAMPLES = 5.0, 4
+#: Share of entries above which a term is common.
+COMMON = 0.05
 PREFIX = 5
 BLOCK = 64
 NEAREST = 16
 PRIOR = 0.5
-_CACHE = 20_000
+_CACHE = 500
+#: The index that a worker has built, by its fit.
+_BUILT: dict[str, BlockMaxIndex] = {}
 _WORD = re.compile(r"\w+")
 
 
@@ -49,66 +53,79 @@ def terms(text: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Labelled vectors: idf of each term, entries with their counts, postings in blocks."""
+    """Labelled vectors: weight of each term, entries with their counts, postings, blocks of the common ones."""
 
     def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
         """examples: (id, toxic, count of each vocabulary term)."""
         self.term = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        entries: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, -1])
+        rows = []
         for id_, toxic, counts in examples:
-            e = entries[self.key(counts)]
+            key = self.key(counts)
+            rows.append((id_, toxic, np.array([t for t, _ in key], np.int64), np.array([n for _, n in key], np.int64)))
+        self._build(np.array([idf[t] for t in self.term]), rows)
+
+    def _build(self, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
+        self.idf = idf
+        entries: dict[bytes, list] = {}
+        for id_, toxic, at, n in rows:
+            e = entries.setdefault(np.stack([at, n], 1).astype(">i4").tobytes(), [0, 0, id_, at, n])
             e[0] += 1
             e[1] += toxic
-            e[2] = id_ if e[2] < 0 else min(e[2], id_)
-        none = entries.pop((), [0, 0, -1])
-        self.share = sum(t for _, t, _ in examples) / len(examples) if examples else 0.0
+            e[2] = min(e[2], id_)
+        none = entries.pop(b"", [0, 0])
+        self.share = sum(r[1] for r in rows) / len(rows) if rows else 0.0
         self.empty = (none[1] + PRIOR * self.share) / (none[0] + PRIOR) if none[0] else self.share
-        keys = sorted(entries)  # alike vectors lie in one block
-        self.count, self.toxic, self.id = (np.array([entries[k][i] for k in keys], float if i < 2 else np.int64) for i in range(3))
-        self.blocks = -(-len(keys) // BLOCK)
-        post: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for n, key in enumerate(keys):
-            at, w = self.vector(key)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                post[t].append((n, x))
-        self.entry = [np.array([n for n, _ in p], np.int64) for p in post]
-        self.weight = [np.array([x for _, x in p]) for p in post]
-        self.most = np.zeros((len(post), self.blocks))
-        for t, (e, w) in enumerate(zip(self.entry, self.weight, strict=True)):
-            np.maximum.at(self.most[t], e // BLOCK, w)
+        own = [entries[k] for k in sorted(entries)]  # alike vectors lie in one block
+        del entries
+        self.count, self.toxic, self.id = (np.array([e[i] for e in own], float if i < 2 else np.int64) for i in range(3))
+        self.blocks = -(-len(own) // BLOCK)
+        term, entry = np.concatenate([np.zeros(0, np.int32), *[e[3] for e in own]]).astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), [len(e[3]) for e in own])
+        weight = np.concatenate([np.zeros(0), *[self._unit(e[3], e[4]) for e in own]])
+        del own
+        order = np.argsort(term, kind="stable")
+        self.entry, self.weight = entry[order], weight[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        common = np.flatnonzero(np.diff(self.start) > max(BLOCK, COMMON * len(self.count)))
+        self.common = np.full(len(idf), -1, np.int64)
+        self.common[common] = np.arange(len(common))
+        self.whole, self.most = np.zeros((len(self.count), len(common))), np.zeros((len(common), self.blocks))
+        for i, t in enumerate(common.tolist()):
+            e, w = self.entry[self.start[t] : self.start[t + 1]], self.weight[self.start[t] : self.start[t + 1]]
+            self.whole[e, i] = w
+            np.maximum.at(self.most[i], e // BLOCK, w)
         self.known: dict[tuple, tuple[float, list]] = {}
 
     def key(self, counts: dict[str, int]) -> tuple:
         return tuple(sorted((self.term[t], n) for t, n in counts.items()))
 
+    def _unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.idf[at]
+        return w / math.sqrt(float(w @ w))
+
     def vector(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of unit length."""
-        at = np.array([t for t, _ in key], np.int64)
-        w = (1 + np.log([n for _, n in key])) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
+        at, n = np.array(key, np.int64).reshape(-1, 2).T
+        return at, self._unit(at, n)
 
     def nearest(self, key: tuple, k: int = NEAREST) -> list[tuple[int, float]]:
         """The k entries of greatest cosine above 0, exactly: (entry, cosine)."""
         at, q = self.vector(key)
-        bound = q @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        score, done, kth, width = np.zeros(len(self.count)), np.zeros(self.blocks, bool), 0.0, 4
-        while True:
-            live = [b for b in order.tolist() if not done[b] and bound[b] >= kth - 1e-12 and bound[b] > 0][:width]
-            if not live:
-                break
-            take = np.zeros(self.blocks, bool)
-            take[live] = True
-            for t, x in zip(at.tolist(), q.tolist(), strict=True):
-                own = take[self.entry[t] // BLOCK]
-                score[self.entry[t][own]] += x * self.weight[t][own]
-            done |= take
-            if len(score) >= k:
-                kth = float(np.partition(score, -k)[-k])
-            width *= 2
-        best = np.lexsort((np.arange(len(score)), -score))[:k]
-        return [(int(e), float(score[e])) for e in best if score[e] > 0]
+        where = self.common[at]
+        rare, full = where < 0, np.zeros(self.whole.shape[1])
+        full[where[~rare]] = q[~rare]
+        begin = self.start[at[rare]]
+        n = self.start[at[rare] + 1] - begin
+        post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.entry[post], np.repeat(q[rare], n) * self.weight[post], minlength=len(self.count))
+        bound = score + np.repeat(full @ self.most, BLOCK)[: len(score)]
+        kth = 0.0
+        if len(score) > k:
+            some = np.argpartition(-bound, k)[: 4 * k]
+            kth = float(np.sort(score[some] + self.whole[some] @ full)[-k])
+        live = np.flatnonzero((bound >= kth - 1e-12) & (bound > 0))
+        got = score[live] + (self.whole[live] @ full if 4 * len(live) < len(score) else (self.whole @ full)[live])
+        best = np.lexsort((live, -got))[:k]
+        return [(int(live[i]), float(got[i])) for i in best if got[i] > 0]
 
     def score(self, text: str) -> tuple[float, list[dict]]:
         """Score of a text and its evidence: id of an example, cosine, how many examples, how many of them toxic."""
@@ -140,7 +157,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "n", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> BlockMaxIndex | Fitted:
     """labels: id_ and label, already limited to what may be learned from."""
     spark = docs.sparkSession
     told = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
@@ -150,30 +167,53 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     n, n1 = len(told), sum(r["y"] for r in told)
     if not n1:
         return BlockMaxIndex({}, [(r["id"], 0, {}) for r in told])
-    found = own.mapInArrow(_term_counts, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(f"toxic >= {LEAST_EXAMPLES}")
-    share = n1 / n
-    z = (F.col("toxic") - F.col("n") * share) / F.sqrt((F.col("n") + 1) * F.lit(share * (1 - share) + 1e-9))
-    found = found.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    idf = {r["term"]: math.log((1 + n) / (1 + r["n"])) + 1 for r in found}
-    vocabulary = set(idf)
+    found = own.mapInArrow(_term_counts, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    found = found.take(pc.sort_indices(found, [("term", "ascending")]))  # bytewise, which is the order of code points
+    share, df, toxic = n1 / n, found.column("n").to_numpy(), found.column("toxic").to_numpy()
+    z = (toxic - df * share) / np.sqrt((df + 1) * (share * (1 - share) + 1e-9))
+    weight = np.log((2 + n) / (1 + df)) * np.maximum(1, z)
+    names = found.column("term").combine_chunks()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [list(Counter([t for t in terms(x or "") if t in vocabulary]).items()) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.map_(pa.string(), pa.int32()))], names=["id", "y", "counts"])
+        for batch in pieces(batches, 2):
+            counts = [Counter(terms(x or "")) for x in batch.column(2).to_pylist()]
+            found = pc.index_in(pa.array([t for c in counts for t in c], pa.string()), value_set=names).to_numpy(zero_copy_only=False).astype("<i4")
+            at, many = [], []
+            for own_, c in zip(np.split(found, np.cumsum([len(c) for c in counts])[:-1]), counts, strict=True):
+                order = np.argsort(own_)
+                at.append(own_[order].tobytes())
+                many.append(np.array(list(c.values()), "<i4")[order].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(many, pa.binary())], names=["id", "y", "at", "n"])
+
+    return Fitted(names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
+
+
+class Fitted:
+    """What an index is built of, in few bytes; each worker builds it once."""
+
+    def __init__(self, names: pa.Array, weight: np.ndarray, rows: pa.Table):
+        self.names, self.weight, self.rows, self.uid = names, weight, rows.combine_chunks(), uuid.uuid4().hex
 
-    rows = own.mapInArrow(vectors, "id long, y int, counts map<string,int>").collect()
-    return BlockMaxIndex(idf, sorted(((r["id"], r["y"], r["counts"]) for r in rows), key=lambda r: (r[0], r[1], sorted(r[2].items()))))
+    def index(self) -> BlockMaxIndex:
+        if self.uid not in _BUILT:
+            _BUILT.clear()
+            index = BlockMaxIndex({}, [])
+            index.term = {t: i for i, t in enumerate(self.names.to_pylist())}
+            bytes_ = [[np.frombuffer(x, "<i4") for x in self.rows.column(i).to_pylist()] for i in (2, 3)]
+            index._build(self.weight, list(zip(self.rows.column(0).to_pylist(), self.rows.column(1).to_pylist(), *bytes_, strict=True)))
+            _BUILT[self.uid] = index
+        return _BUILT[self.uid]
 
 
-def score(docs: DataFrame, index: BlockMaxIndex, text: str = "text", id_: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, index: BlockMaxIndex | Fitted, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, score and evidence, one row for each row of docs."""
     kind = dict(docs.dtypes)[id_]
     shape = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = index.index() if isinstance(index, Fitted) else index
         for batch in pieces(batches, 1):
-            got = [index.score(t or "") for t in batch.column(1).to_pylist()]
+            got = [built.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], shape)], names=["id", "score", "evidence"])
 
     out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:long,cosine:double,examples:long,toxic:long>>")

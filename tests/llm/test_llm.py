@@ -216,6 +216,18 @@ def test_toxicity(spark):
     assert all(r["score"] == 0 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_rare_wording(spark):
+    """A near copy of a labelled text is found though no term of it recurs among toxic examples."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *[(1000 + i, t + " tail") for i, t in rows[:40]], (2000, "unseenword")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = by(toxicity.score(docs, index))
+    assert all((got[1000 + i]["score"] >= 0.3) == (i % 5 == 0) and got[1000 + i]["evidence"][0]["id"] == i for i in range(40))
+    assert got[2000]["evidence"] == []
+
+
 def test_pages(spark):
     layout = "<html><body><div class='top'>Site name</div><div class='x'><h1>{0}</h1><p>Body {0} of some length &amp; more<p>and<br>more</div><div>All rights</div><form>find</form></body></html>"
     rows = [(i, f"http://h.example/{i}", layout.format(f"t{i}" * 9)) for i in range(6)]
