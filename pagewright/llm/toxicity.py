@@ -2,19 +2,23 @@
 
 Terms are words and word beginnings, all that the labelled sample has.  A term weighs by its inverse document frequency,
 and more where toxic examples hold it more often than others beyond chance (times the standard deviations, 1 at least).
-Labelled examples with equal vectors are one entry with counts.  Rare terms' postings are added up; common terms' are cut
-into blocks of entries with their greatest weight, and what these can add bounds every score in a block.  Entries that
-cannot reach the k-th best score are never completed, so the k nearest are exact.
+Labelled examples with equal vectors are one entry with counts; alike entries lie in one block.  Rare terms' postings are
+added up for a batch of documents; what the common terms can add is bounded by their greatest weight in each block.  The
+most promising blocks of a document are completed first and give the k-th best score; then every block whose bound reaches
+it.  Sums are taken in single precision with a slack above their rounding, and all entries within the slack of the k-th are
+recomputed in double, so the k nearest are exact (to 12 decimals, by which they are ranked).
 
-The score is a vote of the nearest, each weighing by closeness and count, drawn towards the share of toxic examples by
-PRIOR votes; the nearest are returned as evidence.  A document without a vocabulary term is nearest to the examples
-without one and gets their share.
+The vote of the nearest weighs by closeness and count, drawn towards the share of toxic examples by PRIOR votes.  A
+logistic curve, fitted to the votes of CALIBRATED labelled examples of which each is left out of its own vote, turns votes
+into scores; the nearest are returned as evidence.  A document without a vocabulary term is nearest to the examples without
+one and gets their share.
 
 Bounds: at most ``max_labelled`` labelled rows (those of least hash of the id) are learned from.
 
 Defined results: a null text counts as empty; an example labelled more than once counts as toxic if any label is 1; rows
-without a label, or whose text is missing, are not learned from; without examples every score is 0; ties in similarity go
-to the entry of smaller number, which the data alone decide; rows are never merged.
+without a label or id, or whose text is missing from docs, are not learned from; without examples every score is 0; ties in
+similarity go to the entry of smaller id; rows are never merged; an empty table gives an empty table; other columns are
+never read.  Ids of docs and labels are integers.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import pieces
+from pagewright.llm.scratch import Scratch
 
 MAX_LABELLED = 20_000
+#: Labelled rows of least hash on which the curve from votes to scores is fitted.
+CALIBRATED = 2_048
 #: Share of entries above which a term is common.
 COMMON = 0.05
 PREFIX = 5
 BLOCK = 64
 NEAREST = 16
 PRIOR = 0.5
-_CACHE = 500
+#: Documents that are looked up together, and of these whose rare postings are added up together.
+BATCH, ADDED = 128, 8
+#: Blocks of a document that are completed first.
+FIRST = 2
+#: Directions in which alike entries are told from others.
+DIRECTIONS = 24
+#: Text bytes whose terms are held at once.
+PIECE_BYTES = 1 << 20
 #: The index that a worker has built, by its fit.
 _BUILT: dict[str, BlockMaxIndex] = {}
 _WORD = re.compile(r"\w+")
@@ -52,169 +66,313 @@ def terms(text: str) -> list[str]:
     return words + ["^" + w[:PREFIX] for w in words if len(w) > PREFIX]
 
 
+def term_counts(texts: list[str], names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, term, n): the known terms of each text in ascending order with their counts, from begin[i] to begin[i + 1]."""
+    own = [terms(t) for t in texts]
+    said = pa.array([x for o in own for x in o], pa.string()).dictionary_encode()
+    known = pc.fill_null(pc.index_in(said.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = known[said.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(own)), [len(o) for o in own])
+    key, n = np.unique((row * (len(names) + 1) + at)[at >= 0], return_counts=True)
+    return np.searchsorted(key, np.arange(len(own) + 1) * (len(names) + 1)), key % (len(names) + 1), n
+
+
 class BlockMaxIndex:
-    """Labelled vectors: weight of each term, entries with their counts, postings, blocks of the common ones."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]]):
-        """examples: (id, toxic, count of each vocabulary term)."""
-        self.term = {t: i for i, t in enumerate(sorted(idf))}
-        rows = []
-        for id_, toxic, counts in examples:
-            key = self.key(counts)
-            rows.append((id_, toxic, np.array([t for t, _ in key], np.int64), np.array([n for _, n in key], np.int64)))
-        self._build(np.array([idf[t] for t in self.term]), rows)
-
-    def _build(self, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> None:
-        self.idf = idf
-        entries: dict[bytes, list] = {}
-        for id_, toxic, at, n in rows:
-            e = entries.setdefault(np.stack([at, n], 1).astype(">i4").tobytes(), [0, 0, id_, at, n])
+    """Labelled vectors: weight of each term, entries with their counts, postings of rare terms, blocks of the common ones."""
+
+    def __init__(self, idf: np.ndarray, begin: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray, toxic: np.ndarray):
+        """Example i has id ids[i], label toxic[i] and the terms at[begin[i]:begin[i + 1]], ascending, n times."""
+        self.idf, found = idf, {}
+        slices = [slice(a, b) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        for i in sorted(range(len(ids)), key=lambda i: (int(ids[i]), at[slices[i]].tobytes())):
+            e = found.setdefault((at[slices[i]].tobytes(), n[slices[i]].tobytes()), [0, 0, int(ids[i]), slices[i]])
             e[0] += 1
-            e[1] += toxic
-            e[2] = min(e[2], id_)
-        none = entries.pop(b"", [0, 0])
-        self.share = sum(r[1] for r in rows) / len(rows) if rows else 0.0
-        self.empty = (none[1] + PRIOR * self.share) / (none[0] + PRIOR) if none[0] else self.share
-        own = [entries[k] for k in sorted(entries)]  # alike vectors lie in one block
-        del entries
-        self.count, self.toxic, self.id = (np.array([e[i] for e in own], float if i < 2 else np.int64) for i in range(3))
-        self.blocks = -(-len(own) // BLOCK)
-        term, entry = np.concatenate([np.zeros(0, np.int32), *[e[3] for e in own]]).astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), [len(e[3]) for e in own])
-        weight = np.concatenate([np.zeros(0), *[self._unit(e[3], e[4]) for e in own]])
-        del own
-        order = np.argsort(term, kind="stable")
-        self.entry, self.weight = entry[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
-        common = np.flatnonzero(np.diff(self.start) > max(BLOCK, COMMON * len(self.count)))
-        self.common = np.full(len(idf), -1, np.int64)
-        self.common[common] = np.arange(len(common))
-        self.whole, self.most = np.zeros((len(self.count), len(common))), np.zeros((len(common), self.blocks))
-        for i, t in enumerate(common.tolist()):
-            e, w = self.entry[self.start[t] : self.start[t + 1]], self.weight[self.start[t] : self.start[t + 1]]
-            self.whole[e, i] = w
-            np.maximum.at(self.most[i], e // BLOCK, w)
-        self.known: dict[tuple, tuple[float, list]] = {}
-
-    def key(self, counts: dict[str, int]) -> tuple:
-        return tuple(sorted((self.term[t], n) for t, n in counts.items()))
-
-    def _unit(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(n)) * self.idf[at]
-        return w / math.sqrt(float(w @ w))
-
-    def vector(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of unit length."""
-        at, n = np.array(key, np.int64).reshape(-1, 2).T
-        return at, self._unit(at, n)
-
-    def nearest(self, key: tuple, k: int = NEAREST) -> list[tuple[int, float]]:
-        """The k entries of greatest cosine above 0, exactly: (entry, cosine)."""
-        at, q = self.vector(key)
-        where = self.common[at]
-        rare, full = where < 0, np.zeros(self.whole.shape[1])
-        full[where[~rare]] = q[~rare]
-        begin = self.start[at[rare]]
-        n = self.start[at[rare] + 1] - begin
-        post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.entry[post], np.repeat(q[rare], n) * self.weight[post], minlength=len(self.count))
-        bound = score + np.repeat(full @ self.most, BLOCK)[: len(score)]
-        kth = 0.0
-        if len(score) > k:
-            some = np.argpartition(-bound, k)[: 4 * k]
-            kth = float(np.sort(score[some] + self.whole[some] @ full)[-k])
-        live = np.flatnonzero((bound >= kth - 1e-12) & (bound > 0))
-        got = score[live] + (self.whole[live] @ full if 4 * len(live) < len(score) else (self.whole @ full)[live])
-        best = np.lexsort((live, -got))[:k]
-        return [(int(live[i]), float(got[i])) for i in best if got[i] > 0]
-
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        """Score of a text and its evidence: id of an example, cosine, how many examples, how many of them toxic."""
-        if not len(self.count) and not self.share:
-            return 0.0, []
-        key = self.key(Counter([t for t in terms(text) if t in self.term]))
-        if not key or not len(self.count):
-            return self.empty, []
-        if key not in self.known:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
-            near = self.nearest(key)
-            e, s = np.array([e for e, _ in near], np.int64), np.array([s for _, s in near])
-            w = s / (0.05 + 1 - np.minimum(s, 1)) * self.count[e]
-            vote = float((w @ (self.toxic[e] / self.count[e]) + PRIOR * self.share) / (w.sum() + PRIOR))
-            self.known[key] = vote, [{"id": int(self.id[x]), "cosine": y, "examples": int(self.count[x]), "toxic": int(self.toxic[x])} for x, y in near]
-        return self.known[key]
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            e[1] += int(toxic[i])
+        none = found.pop((b"", b""), [0, 0])
+        self.share = float(toxic.mean()) if len(ids) else 0.0
+        self.empty = none
+        own = list(found.values())
+        del found
+        order = self._alike(own, at, n)
+        own = [own[i] for i in order]
+        self.count, self.toxic, self.id = (np.array([e[i] for e in own], np.int64) for i in range(3))
+        self.begin = np.concatenate([[0], np.cumsum([e[3].stop - e[3].start for e in own])]).astype(np.int64)
+        pick = np.concatenate([np.zeros(0, np.int64), *[np.arange(e[3].start, e[3].stop) for e in own]])
+        self.at, self.n = at[pick], n[pick].astype(np.int32)
+        del pick, own
+        self.norm = self._norms(self.begin, self.at, self.n)
+        self.blocks = -(-len(self.id) // BLOCK)
+        self._post()
+
+    def _norms(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = ((1 + np.log(n)) * self.idf[at]) ** 2
+        ends = np.concatenate([[0.0], np.cumsum(w)])
+        return np.sqrt(ends[begin[1:]] - ends[begin[:-1]])
+
+    def _columns(self, at: np.ndarray, entries: int) -> np.ndarray:
+        """The column of each common term, -1 for the others."""
+        df = np.bincount(at, minlength=len(self.idf))
+        common = np.flatnonzero(df > max(BLOCK, COMMON * entries))
+        out = np.full(len(self.idf), -1, np.int64)
+        out[common] = np.arange(len(common))
+        return out
+
+    def _alike(self, own: list, at: np.ndarray, n: np.ndarray) -> list[int]:
+        """Entries in an order that puts alike ones next to each other; any order gives the same results."""
+        if len(own) <= BLOCK:
+            return list(range(len(own)))
+        pick = np.concatenate([np.arange(e[3].start, e[3].stop) for e in own])
+        t, entry = at[pick], np.repeat(np.arange(len(own)), [e[3].stop - e[3].start for e in own])
+        column = self._columns(t, len(own))[t]
+        t, entry, column = t[column >= 0], entry[column >= 0], column[column >= 0]
+        signs = np.random.default_rng(3).choice([-1.0, 1.0], (DIRECTIONS, int(column.max(initial=-1)) + 1))
+        x = np.stack([np.bincount(entry, self.idf[t] * s[column], minlength=len(own)) for s in signs], 1)
+        out, open_ = [], [np.arange(len(own))]
+        while open_:
+            part = open_.pop()
+            if len(part) <= BLOCK:
+                out += part.tolist()
+                continue
+            y = x[part] - x[part].mean(0)
+            axis = y[np.abs(y).sum(1).argmax()]
+            for _ in range(8):
+                axis = y.T @ (y @ axis)
+                axis = axis / (np.sqrt(axis @ axis) or 1.0)
+            part = part[np.argsort(np.round(y @ axis, 9), kind="stable")]
+            half = (-(-len(part) // BLOCK) + 1) // 2 * BLOCK
+            open_ += [part[half:], part[:half]]
+        return out
+
+    def _post(self) -> None:
+        entry = np.repeat(np.arange(len(self.id), dtype=np.int32), np.diff(self.begin))
+        weight = ((1 + np.log(self.n)) * self.idf[self.at] / self.norm[entry]).astype(np.float32)
+        self.column = self._columns(self.at, len(self.id))
+        column = self.column[self.at]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(self.at[rare], kind="stable")]
+        self.entry, self.weight = entry[rare], weight[rare]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.at[rare], minlength=len(self.idf)))])
+        width = int(self.column.max(initial=-1)) + 1
+        self.whole = np.zeros((self.blocks * BLOCK, width), np.float32)
+        self.whole[entry[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.most = np.ascontiguousarray(self.whole.reshape(self.blocks, BLOCK, width).max(1).T) if self.blocks else np.zeros((width, 0), np.float32)
+
+    def nearest(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (as term_counts gives them) the k entries of greatest cosine above 0, exactly: (entries, cosines)."""
+        out = []
+        for a in range(0, len(begin) - 1, BATCH):
+            b = min(len(begin) - 1, a + BATCH)
+            cut = slice(begin[a], begin[b])
+            out += self._batch(begin[a : b + 1] - begin[a], at[cut], n[cut], k)
+        return out
+
+    def _batch(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        texts, size = len(begin) - 1, self.blocks * BLOCK
+        row = np.repeat(np.arange(texts), np.diff(begin))
+        norm = self._norms(begin, at, n)
+        q = (1 + np.log(n)) * self.idf[at] / norm[row]
+        column = self.column[at]
+        full = np.zeros((texts, self.whole.shape[1]), np.float32)
+        full[row[column >= 0], column[column >= 0]] = q[column >= 0]
+        score = self._rare(texts, row, at, np.where(column < 0, q, 0.0))
+        slack = 8 * (np.diff(begin).max(initial=0) + 8) * 2.0**-24  # above the rounding of sums of so many terms, none over 1 in all
+
+        bound = score.reshape(texts, self.blocks, BLOCK).max(2) + full @ self.most + slack
+        done = np.zeros((texts, self.blocks), bool)
+        first = np.argpartition(-bound, min(FIRST, self.blocks - 1), 1)[:, :FIRST] if self.blocks else np.zeros((texts, 0), np.int64)
+        np.put_along_axis(done, first, True, 1)
+        self._complete(score, full, done)
+        part = np.take_along_axis(score.reshape(texts, self.blocks, BLOCK), first[:, :, None], 1).reshape(texts, -1)
+        kth = np.partition(part, part.shape[1] - k, 1)[:, part.shape[1] - k] if part.shape[1] >= k else np.zeros(texts, np.float32)
+        more = (bound >= kth[:, None] - slack) & ~done
+        self._complete(score, full, more)
+        live = np.repeat(done | more, BLOCK, 1)[:, : len(self.id)]
+        score = np.where(live, score[:, : len(self.id)], np.float32(-1))
+        if score.shape[1] > k:
+            kth = np.maximum(kth, np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k])
+        i, e = np.nonzero((score >= kth[:, None] - 2 * slack) & (score > -1))
+        got = self._cosines(begin, at, q, i, e)
+        at_ = np.searchsorted(i, np.arange(texts + 1))
+        out = []
+        for a, b in zip(at_[:-1].tolist(), at_[1:].tolist(), strict=True):
+            own, s = e[a:b], got[a:b]
+            best = np.lexsort((own, self.id[own], -s))[:k]
+            best = best[s[best] > 0]
+            out.append((own[best], s[best]))
+        return out
+
+    def _rare(self, texts: int, row: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What rare terms add to each entry's score; a row for each text."""
+        size = self.blocks * BLOCK
+        out = np.zeros((texts, size), np.float32)
+        for a in range(0, texts, ADDED):
+            own = slice(*np.searchsorted(row, [a, a + ADDED]))
+            begin = self.start[at[own]]
+            n = self.start[at[own] + 1] - begin
+            post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat((row[own] - a) * size, n) + self.entry[post]
+            b = min(texts, a + ADDED)
+            out[a:b] = np.bincount(place, np.repeat(q[own], n) * self.weight[post], minlength=(b - a) * size).reshape(b - a, size)
+        return out
+
+    def _complete(self, score: np.ndarray, full: np.ndarray, which: np.ndarray) -> None:
+        """Adds the common terms to the scores of the marked blocks of each text."""
+        for b in np.flatnonzero(which.any(0)).tolist():
+            rows, cols = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            score[rows, cols] += full[rows] @ self.whole[cols].T
+
+    def _cosines(self, begin: np.ndarray, at: np.ndarray, q: np.ndarray, i: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Cosine of text i and entry e in double precision, pair by pair, to 12 decimals; i ascends."""
+        out, mine = np.zeros(len(i)), np.zeros(len(self.idf))
+        cut = np.searchsorted(i, np.arange(len(begin)))
+        for text in range(len(begin) - 1):
+            own = e[cut[text] : cut[text + 1]]
+            if not len(own):
+                continue
+            t = slice(begin[text], begin[text + 1])
+            mine[at[t]] = q[t]
+            n = self.begin[own + 1] - self.begin[own]
+            place = np.repeat(self.begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = self.at[place]
+            sums = np.add.reduceat((1 + np.log(self.n[place])) * self.idf[both] * mine[both], np.cumsum(n) - n)
+            out[cut[text] : cut[text + 1]] = np.round(sums / self.norm[own], 12)
+            mine[at[t]] = 0.0
+        return out
+
+    def vote(self, own: np.ndarray, cosine: np.ndarray, without: int | None = None) -> float:
+        """Vote of entries; without: the label of an example, among the equal ones, that does not count."""
+        count, toxic = self.count[own].astype(float), self.toxic[own].astype(float)
+        if without is not None and len(own) and cosine[0] > 1 - 1e-9:
+            count[0] -= 1
+            toxic[0] -= without
+        if not len(own):
+            count, toxic, cosine = np.array([self.empty[0]], float), np.array([self.empty[1]], float), np.ones(1)
+            if without is not None:
+                count, toxic = np.maximum(count - 1, 0), np.maximum(toxic - without, 0)
+            return float((toxic[0] + PRIOR * self.share) / (count[0] + PRIOR))
+        w = cosine / (0.05 + 1 - np.minimum(cosine, 1))
+        return float((w @ toxic + PRIOR * self.share) / (w @ count + PRIOR))
+
+    def votes(self, texts: list[str], names: pa.Array, labels: list[int] | None = None) -> list[tuple[float, list[dict]]]:
+        """Vote and evidence of each text; labels: those of examples, each left out of its own vote."""
+        if not len(self.id) and not self.share:
+            return [(0.0, [])] * len(texts)
+        found = self.nearest(*term_counts(texts, names), NEAREST + (labels is not None))
+        out = []
+        for i, (own, s) in enumerate(found):
+            told = [{"id": int(self.id[x]), "cosine": float(y), "examples": int(self.count[x]), "toxic": int(self.toxic[x])} for x, y in zip(own.tolist(), s.tolist(), strict=True)]
+            out.append((self.vote(own, s, labels[i] if labels is not None else None), told))
+        return out
+
+
+def curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the score 1 / (1 + exp(-(a + b * logit(vote)))), by Newton steps with a weak pull towards (0, 1)."""
+    a = np.array([0.0, 1.0])
+    if not labels.any() or labels.all():
+        return 0.0, 1.0
+    x = np.stack([np.ones(len(votes)), _logit(votes)], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ a))
+        grad = x.T @ (labels - p) - (a - [0.0, 1.0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), grad)
+        a = a + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(a[0]), max(float(a[1]), 1e-3)
+
+
+def _logit(votes: np.ndarray) -> np.ndarray:
+    v = np.clip(votes, 1e-6, 1 - 1e-6)
+    return np.log(v / (1 - v))
+
+
+class Fitted:
+    """What an index is built of, in few bytes; each worker builds it once."""
+
+    def __init__(self, names: pa.Array, idf: np.ndarray, rows: pa.Table):
+        """rows: id, y, at and n (32-bit numbers of each example, as bytes)."""
+        self.names, self.idf, self.uid, self.curve = names, idf, uuid.uuid4().hex, (0.0, 1.0)
+        self.ids, self.toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
+        at = rows.column(2).combine_chunks().to_pylist()
+        self.begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in at])]).astype(np.int64)
+        self.at = np.frombuffer(b"".join(at), "<i4")
+        del at
+        self.n = np.frombuffer(b"".join(rows.column(3).combine_chunks().to_pylist()), "<i4")
+
+    def index(self) -> BlockMaxIndex:
+        if self.uid not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.uid] = BlockMaxIndex(self.idf, self.begin, self.at, self.n, self.ids, self.toxic)
+        return _BUILT[self.uid]
+
+    def score(self, vote: float) -> float:
+        if not self.toxic.any():
+            return 0.0
+        return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * float(_logit(np.array(vote))))))
+
+
+def _term_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, examples, toxic ones) of a partition of the labelled sample."""
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for batch in batches:
         for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for t in set(terms(text or "")):
+            for t in set(terms(text)):
                 seen[t][0] += 1
                 seen[t][1] += toxic
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "n", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> BlockMaxIndex | Fitted:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> Fitted:
     """labels: id_ and label, already limited to what may be learned from."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     told = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     told = told.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()
-    small = spark.createDataFrame([(r["id"], r["y"]) for r in told], "id long, y int")
-    own = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).alias("t")).join(F.broadcast(small), "id").select("id", "y", "t")  # max_labelled rows at most
-    n, n1 = len(told), sum(r["y"] for r in told)
-    if not n1:
-        return BlockMaxIndex({}, [(r["id"], 0, {}) for r in told])
-    found = own.mapInArrow(_term_counts, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    small = spark.createDataFrame([(r["id"], int(r["y"] > 0)) for r in told], "id long, y int")
+    own = docs.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(small), "id").select("id", "y", "t")  # max_labelled rows at most
+    own = scratch.cut(own)
+    n, n1 = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    found = own.mapInArrow(_term_frequencies, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
     found = found.take(pc.sort_indices(found, [("term", "ascending")]))  # bytewise, which is the order of code points
-    share, df, toxic = n1 / n, found.column("n").to_numpy(), found.column("toxic").to_numpy()
+    share, df, toxic = n1 / n if n else 0.0, found.column("n").to_numpy(), found.column("toxic").to_numpy()
     z = (toxic - df * share) / np.sqrt((df + 1) * (share * (1 - share) + 1e-9))
     weight = np.log((2 + n) / (1 + df)) * np.maximum(1, z)
     names = found.column("term").combine_chunks()
+    names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
+    del found
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            counts = [Counter(terms(x or "")) for x in batch.column(2).to_pylist()]
-            found = pc.index_in(pa.array([t for c in counts for t in c], pa.string()), value_set=names).to_numpy(zero_copy_only=False).astype("<i4")
-            at, many = [], []
-            for own_, c in zip(np.split(found, np.cumsum([len(c) for c in counts])[:-1]), counts, strict=True):
-                order = np.argsort(own_)
-                at.append(own_[order].tobytes())
-                many.append(np.array(list(c.values()), "<i4")[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(many, pa.binary())], names=["id", "y", "at", "n"])
+        for batch in pieces(batches, 2, PIECE_BYTES):
+            begin, at, n = term_counts(batch.column(2).to_pylist(), names)
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x.astype("<i4"), begin[1:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(at), cut(n)], names=["id", "y", "at", "n"])
 
-    return Fitted(names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
+    out = Fitted(names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
 
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2, PIECE_BYTES):
+            got = out.index().votes(batch.column(2).to_pylist(), names, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.float64())], names=["id", "y", "vote"])
 
-class Fitted:
-    """What an index is built of, in few bytes; each worker builds it once."""
-
-    def __init__(self, names: pa.Array, weight: np.ndarray, rows: pa.Table):
-        self.names, self.weight, self.rows, self.uid = names, weight, rows.combine_chunks(), uuid.uuid4().hex
-
-    def index(self) -> BlockMaxIndex:
-        if self.uid not in _BUILT:
-            _BUILT.clear()
-            index = BlockMaxIndex({}, [])
-            index.term = {t: i for i, t in enumerate(self.names.to_pylist())}
-            bytes_ = [[np.frombuffer(x, "<i4") for x in self.rows.column(i).to_pylist()] for i in (2, 3)]
-            index._build(self.weight, list(zip(self.rows.column(0).to_pylist(), self.rows.column(1).to_pylist(), *bytes_, strict=True)))
-            _BUILT[self.uid] = index
-        return _BUILT[self.uid]
+    if n1:
+        some = spark.createDataFrame([(r["id"],) for r in told[:CALIBRATED]], "id long")
+        some = own.join(F.broadcast(some), "id").select("id", "y", "t")
+        seen = sorted((r["vote"], r["y"]) for r in some.mapInArrow(left_out, "id long, y int, vote double").collect())  # CALIBRATED rows and those that share their ids
+        out.curve = curve(np.array([v for v, _ in seen]), np.array([y for _, y in seen], float))
+    scratch.drop(own)
+    return out
 
 
-def score(docs: DataFrame, index: BlockMaxIndex | Fitted, text: str = "text", id_: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, score and evidence, one row for each row of docs."""
     kind = dict(docs.dtypes)[id_]
     shape = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = index.index() if isinstance(index, Fitted) else index
-        for batch in pieces(batches, 1):
-            got = [built.score(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], shape)], names=["id", "score", "evidence"])
+        index = fitted.index()
+        for batch in pieces(batches, 1, PIECE_BYTES):
+            got = index.votes([t or "" for t in batch.column(1).to_pylist()], fitted.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fitted.score(g[0]) for g in got], pa.float64()), pa.array([g[1] for g in got], shape)], names=["id", "score", "evidence"])
 
     out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:long,cosine:double,examples:long,toxic:long>>")
     return out.withColumnRenamed("id", id_)

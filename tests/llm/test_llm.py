@@ -188,20 +188,32 @@ def test_language_held_out(spark):
     assert empty.proportions("abc") == {}
 
 
+def _dense(idf, rows):
+    """Unit vectors of rows of term counts."""
+    x = np.zeros((len(rows), len(idf)))
+    for i, counts in enumerate(rows):
+        for t, n in counts.items():
+            x[i, t] = (1 + np.log(n)) * idf[t]
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
 def test_nearest_is_exact():
-    rng = random.Random(2)
-    idf = {f"t{i}": 1 + rng.random() * 3 for i in range(40)}
-    examples = [(i, int(rng.random() < 0.3), {t: rng.randint(1, 4) for t in rng.sample(sorted(idf), rng.randint(1, 5))}) for i in range(900)]
-    index = toxicity.BlockMaxIndex(idf, examples)
-    keys = sorted({index.key(c) for _, _, c in examples})
-    full = np.zeros((len(keys), 40))
-    for i, k in enumerate(keys):
-        at, w = index.vector(k)
-        full[i, at] = w
-    for k in keys[::50]:
-        at, w = index.vector(k)
-        want = np.sort(full[:, at] @ w)[::-1][:16]
-        assert np.allclose([s for _, s in index.nearest(k)], want[want > 0])
+    rng = np.random.default_rng(2)
+    idf, rows = rng.random(300) * 4 + 0.1, []
+    for _ in range(900):
+        own = rng.choice(300, rng.integers(1, 40), replace=False, p=(p := 1 / np.arange(1, 301)) / p.sum())
+        rows.append({int(t): int(rng.integers(1, 4)) for t in sorted(own)})
+    rows += rows[:50]
+    flat = lambda rows: (np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.array([t for r in rows for t in r], "<i4"), np.array([n for r in rows for n in r.values()], "<i4"))
+    index = toxicity.BlockMaxIndex(idf, *flat(rows), np.arange(len(rows)), np.arange(len(rows)) % 7 == 0)
+    assert index.whole.shape[1] and len(index.entry) and len(index.id) < len(rows)
+    x = _dense(idf, rows)
+    own = x[index.id]
+    for i, (entries, cosine) in enumerate(index.nearest(*flat(rows))):
+        all_ = np.round(own @ x[i], 12)
+        want = np.lexsort((index.id, -all_))[:16]
+        assert np.allclose(cosine, all_[want][all_[want] > 0], atol=1e-9)
+        assert sorted(index.id[entries]) == sorted(index.id[want[all_[want] > 0]]) or np.isclose(all_[want[-1]], np.sort(all_)[-17])
 
 
 def test_toxicity(spark):
