@@ -23,7 +23,9 @@ never read.  Ids of docs and labels are integers.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 import re
 import uuid
 from collections import defaultdict
@@ -32,7 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import pieces
@@ -44,19 +47,19 @@ CALIBRATED = 2_048
 #: Share of entries above which a term is common.
 COMMON = 0.05
 PREFIX = 5
-BLOCK = 64
+BLOCK = 128
 NEAREST = 16
 PRIOR = 0.5
 #: Documents that are looked up together, and of these whose rare postings are added up together.
-BATCH, ADDED = 128, 8
+BATCH, ADDED = 128, 2
 #: Blocks of a document that are completed first.
-FIRST = 2
+FIRST = 4
 #: Directions in which alike entries are told from others.
 DIRECTIONS = 24
 #: Text bytes whose terms are held at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 2 << 20
 #: The index that a worker has built, by its fit.
-_BUILT: dict[str, BlockMaxIndex] = {}
+_BUILT: dict[str, tuple[BlockMaxIndex, pa.Array]] = {}
 _WORD = re.compile(r"\w+")
 
 
@@ -84,49 +87,45 @@ class BlockMaxIndex:
         """Example i has id ids[i], label toxic[i] and the terms at[begin[i]:begin[i + 1]], ascending, n times."""
         self.idf, found = idf, {}
         slices = [slice(a, b) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-        for i in sorted(range(len(ids)), key=lambda i: (int(ids[i]), at[slices[i]].tobytes())):
-            e = found.setdefault((at[slices[i]].tobytes(), n[slices[i]].tobytes()), [0, 0, int(ids[i]), slices[i]])
+        digests = [hashlib.sha256(at[s].tobytes() + n[s].tobytes()).digest() for s in slices]
+        for i in sorted(range(len(ids)), key=lambda i: (int(ids[i]), digests[i])):
+            e = found.setdefault(digests[i], [0, 0, int(ids[i]), slices[i]])
             e[0] += 1
             e[1] += int(toxic[i])
-        none = found.pop((b"", b""), [0, 0])
+        none = found.pop(hashlib.sha256(b"").digest(), [0, 0])
         self.share = float(toxic.mean()) if len(ids) else 0.0
         self.empty = none
         own = list(found.values())
-        del found
-        order = self._alike(own, at, n)
-        own = [own[i] for i in order]
+        del found, digests
+        self.column = self._columns(np.bincount(at, minlength=len(idf)), len(own))
+        own = [own[i] for i in self._alike([at[e[3]] for e in own])]
         self.count, self.toxic, self.id = (np.array([e[i] for e in own], np.int64) for i in range(3))
         self.begin = np.concatenate([[0], np.cumsum([e[3].stop - e[3].start for e in own])]).astype(np.int64)
-        pick = np.concatenate([np.zeros(0, np.int64), *[np.arange(e[3].start, e[3].stop) for e in own]])
-        self.at, self.n = at[pick], n[pick].astype(np.int32)
-        del pick, own
-        self.norm = self._norms(self.begin, self.at, self.n)
+        self.at = np.concatenate([np.zeros(0, np.int32), *[at[e[3]] for e in own]]).astype(np.int32, copy=False)
+        times = 1 + np.log(np.maximum(np.arange(int(n.max(initial=1)) + 1), 1))
+        self.unit = np.empty(len(self.at))
+        for a, b, e in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), own, strict=True):
+            w = times[n[e[3]]] * idf[self.at[a:b]]
+            self.unit[a:b] = w / math.sqrt(float(w @ w))
+        del own, at, n
         self.blocks = -(-len(self.id) // BLOCK)
         self._post()
 
-    def _norms(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = ((1 + np.log(n)) * self.idf[at]) ** 2
-        ends = np.concatenate([[0.0], np.cumsum(w)])
-        return np.sqrt(ends[begin[1:]] - ends[begin[:-1]])
-
-    def _columns(self, at: np.ndarray, entries: int) -> np.ndarray:
+    def _columns(self, df: np.ndarray, entries: int) -> np.ndarray:
         """The column of each common term, -1 for the others."""
-        df = np.bincount(at, minlength=len(self.idf))
         common = np.flatnonzero(df > max(BLOCK, COMMON * entries))
-        out = np.full(len(self.idf), -1, np.int64)
+        out = np.full(len(self.idf), -1, np.int32)
         out[common] = np.arange(len(common))
         return out
 
-    def _alike(self, own: list, at: np.ndarray, n: np.ndarray) -> list[int]:
-        """Entries in an order that puts alike ones next to each other; any order gives the same results."""
-        if len(own) <= BLOCK:
-            return list(range(len(own)))
-        pick = np.concatenate([np.arange(e[3].start, e[3].stop) for e in own])
-        t, entry = at[pick], np.repeat(np.arange(len(own)), [e[3].stop - e[3].start for e in own])
-        column = self._columns(t, len(own))[t]
-        t, entry, column = t[column >= 0], entry[column >= 0], column[column >= 0]
-        signs = np.random.default_rng(3).choice([-1.0, 1.0], (DIRECTIONS, int(column.max(initial=-1)) + 1))
-        x = np.stack([np.bincount(entry, self.idf[t] * s[column], minlength=len(own)) for s in signs], 1)
+    def _alike(self, own: list[np.ndarray]) -> list[int]:
+        """Entries (their terms) in an order that puts alike ones next to each other; any order gives the same results."""
+        common = np.flatnonzero(self.column >= 0)
+        signs = np.random.default_rng(3).choice([-1.0, 1.0], (len(common), DIRECTIONS)) * self.idf[common][:, None]
+        x = np.zeros((len(own), DIRECTIONS))
+        for i, at in enumerate(own):
+            c = self.column[at]
+            x[i] = signs[c[c >= 0]].sum(0)
         out, open_ = [], [np.arange(len(own))]
         while open_:
             part = open_.pop()
@@ -145,17 +144,17 @@ class BlockMaxIndex:
 
     def _post(self) -> None:
         entry = np.repeat(np.arange(len(self.id), dtype=np.int32), np.diff(self.begin))
-        weight = ((1 + np.log(self.n)) * self.idf[self.at] / self.norm[entry]).astype(np.float32)
-        self.column = self._columns(self.at, len(self.id))
         column = self.column[self.at]
-        rare = np.flatnonzero(column < 0)
-        rare = rare[np.argsort(self.at[rare], kind="stable")]
-        self.entry, self.weight = entry[rare], weight[rare]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.at[rare], minlength=len(self.idf)))])
+        common = np.flatnonzero(column >= 0)
         width = int(self.column.max(initial=-1)) + 1
         self.whole = np.zeros((self.blocks * BLOCK, width), np.float32)
-        self.whole[entry[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.whole[entry[common], column[common]] = self.unit[common]
         self.most = np.ascontiguousarray(self.whole.reshape(self.blocks, BLOCK, width).max(1).T) if self.blocks else np.zeros((width, 0), np.float32)
+        rare = np.flatnonzero(column < 0)
+        del column, common
+        rare = rare[np.argsort(self.at[rare], kind="stable")]
+        self.entry, self.weight = entry[rare], self.unit[rare].astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.at[rare], minlength=len(self.idf)))])
 
     def nearest(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text (as term_counts gives them) the k entries of greatest cosine above 0, exactly: (entries, cosines)."""
@@ -169,13 +168,13 @@ class BlockMaxIndex:
     def _batch(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         texts, size = len(begin) - 1, self.blocks * BLOCK
         row = np.repeat(np.arange(texts), np.diff(begin))
-        norm = self._norms(begin, at, n)
-        q = (1 + np.log(n)) * self.idf[at] / norm[row]
+        q = (1 + np.log(n)) * self.idf[at]
+        q /= np.sqrt(np.bincount(row, q * q, minlength=texts))[row]
         column = self.column[at]
         full = np.zeros((texts, self.whole.shape[1]), np.float32)
         full[row[column >= 0], column[column >= 0]] = q[column >= 0]
         score = self._rare(texts, row, at, np.where(column < 0, q, 0.0))
-        slack = 8 * (np.diff(begin).max(initial=0) + 8) * 2.0**-24  # above the rounding of sums of so many terms, none over 1 in all
+        slack = (2 * (np.bincount(row, column >= 0, minlength=texts) + 8) * 2.0**-24).astype(np.float32)[:, None]  # above the rounding of sums of so many terms, 1 at most in all
 
         bound = score.reshape(texts, self.blocks, BLOCK).max(2) + full @ self.most + slack
         done = np.zeros((texts, self.blocks), bool)
@@ -184,7 +183,7 @@ class BlockMaxIndex:
         self._complete(score, full, done)
         part = np.take_along_axis(score.reshape(texts, self.blocks, BLOCK), first[:, :, None], 1).reshape(texts, -1)
         kth = np.partition(part, part.shape[1] - k, 1)[:, part.shape[1] - k] if part.shape[1] >= k else np.zeros(texts, np.float32)
-        more = (bound >= kth[:, None] - slack) & ~done
+        more = (bound >= kth[:, None] - 2 * slack) & ~done
         self._complete(score, full, more)
         live = np.repeat(done | more, BLOCK, 1)[:, : len(self.id)]
         score = np.where(live, score[:, : len(self.id)], np.float32(-1))
@@ -233,9 +232,7 @@ class BlockMaxIndex:
             mine[at[t]] = q[t]
             n = self.begin[own + 1] - self.begin[own]
             place = np.repeat(self.begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = self.at[place]
-            sums = np.add.reduceat((1 + np.log(self.n[place])) * self.idf[both] * mine[both], np.cumsum(n) - n)
-            out[cut[text] : cut[text + 1]] = np.round(sums / self.norm[own], 12)
+            out[cut[text] : cut[text + 1]] = np.round(np.add.reduceat(self.unit[place] * mine[self.at[place]], np.cumsum(n) - n), 12)
             mine[at[t]] = 0.0
         return out
 
@@ -286,27 +283,46 @@ def _logit(votes: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
+def _packed(*parts: np.ndarray | pa.Array) -> bytes:
+    """Arrays in few bytes: numbers by place of their bytes, which puts alike ones together."""
+    flat = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()) if isinstance(x, np.ndarray) else x for x in parts]
+    return zstandard.compress(pickle.dumps(flat), 3)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray | pa.Array]:
+    def one(x):
+        if not isinstance(x, tuple):
+            return x
+        kind = np.dtype(x[0])
+        return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+    return [one(x) for x in pickle.loads(zstandard.decompress(data))]
+
+
 class Fitted:
-    """What an index is built of, in few bytes; each worker builds it once."""
+    """What an index is built of, in few bytes and sent once to each executor; each worker builds it once."""
 
-    def __init__(self, names: pa.Array, idf: np.ndarray, rows: pa.Table):
+    def __init__(self, spark: SparkSession, names: pa.Array, idf: np.ndarray, rows: pa.Table):
         """rows: id, y, at and n (32-bit numbers of each example, as bytes)."""
-        self.names, self.idf, self.uid, self.curve = names, idf, uuid.uuid4().hex, (0.0, 1.0)
-        self.ids, self.toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
-        at = rows.column(2).combine_chunks().to_pylist()
-        self.begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in at])]).astype(np.int64)
-        self.at = np.frombuffer(b"".join(at), "<i4")
-        del at
-        self.n = np.frombuffer(b"".join(rows.column(3).combine_chunks().to_pylist()), "<i4")
-
-    def index(self) -> BlockMaxIndex:
+        self.uid, self.curve = uuid.uuid4().hex, (0.0, 1.0)
+        ids, toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
+        at, n = (rows.column(i).combine_chunks() for i in (2, 3))
+        sizes = pc.binary_length(at).to_numpy(zero_copy_only=False) // 4
+        at, n = (np.frombuffer(b"".join(x.to_pylist()), "<i4") for x in (at, n))
+        self.toxic = bool(toxic.any())
+        self.shared = spark.sparkContext.broadcast(_packed(names, idf, sizes.astype("<i4"), np.diff(at, prepend=np.int32(0)), n, ids, toxic.astype(np.int8)))
+
+    def index(self) -> tuple[BlockMaxIndex, pa.Array]:
+        """The index and the names of its terms."""
         if self.uid not in _BUILT:
             _BUILT.clear()
-            _BUILT[self.uid] = BlockMaxIndex(self.idf, self.begin, self.at, self.n, self.ids, self.toxic)
+            names, idf, sizes, at, n, ids, toxic = _unpacked(self.shared.value)
+            begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            _BUILT[self.uid] = BlockMaxIndex(idf, begin, np.cumsum(at, dtype=np.int32), n, ids, toxic), names
         return _BUILT[self.uid]
 
     def score(self, vote: float) -> float:
-        if not self.toxic.any():
+        if not self.toxic:
             return 0.0
         return 1 / (1 + math.exp(-(self.curve[0] + self.curve[1] * float(_logit(np.array(vote))))))
 
@@ -340,18 +356,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     names = found.column("term").combine_chunks()
     names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
     del found
+    told_names = _packed(names)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (names,) = _unpacked(told_names)
         for batch in pieces(batches, 2, PIECE_BYTES):
             begin, at, n = term_counts(batch.column(2).to_pylist(), names)
             cut = lambda x: pa.array([y.tobytes() for y in np.split(x.astype("<i4"), begin[1:-1])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(at), cut(n)], names=["id", "y", "at", "n"])
 
-    out = Fitted(names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
+    out = Fitted(spark, names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, names = out.index()
         for batch in pieces(batches, 2, PIECE_BYTES):
-            got = out.index().votes(batch.column(2).to_pylist(), names, batch.column(1).to_pylist())
+            got = index.votes(batch.column(2).to_pylist(), names, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.float64())], names=["id", "y", "vote"])
 
     if n1:
@@ -369,9 +388,9 @@ def score(docs: DataFrame, fitted: Fitted, text: str = "text", id_: str = "doc_i
     shape = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = fitted.index()
+        index, names = fitted.index()
         for batch in pieces(batches, 1, PIECE_BYTES):
-            got = index.votes([t or "" for t in batch.column(1).to_pylist()], fitted.names)
+            got = index.votes([t or "" for t in batch.column(1).to_pylist()], names)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fitted.score(g[0]) for g in got], pa.float64()), pa.array([g[1] for g in got], shape)], names=["id", "score", "evidence"])
 
     out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:long,cosine:double,examples:long,toxic:long>>")
