@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,3 +44,11 @@ def lists(values: bytes, counts: list[int], dtype: str = "<i4") -> pa.Array:
     """A list array of len(counts) rows from the bytes of all values."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(values, dtype=dtype)))
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system, so that a worker's next task finds it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,6 +30,7 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import pieces
+from pagewright.llm.arrow import pieces, tidy
 from pagewright.llm.scratch import Scratch
 
 MAX_LABELLED = 20_000
@@ -47,13 +48,13 @@ CALIBRATED = 2_048
 #: Share of entries above which a term is common.
 COMMON = 0.05
 PREFIX = 5
-BLOCK = 128
+BLOCK = 256
 NEAREST = 16
 PRIOR = 0.5
-#: Documents that are looked up together, and of these whose rare postings are added up together.
-BATCH, ADDED = 128, 2
+#: Documents that are looked up together.
+BATCH = 128
 #: Blocks of a document that are completed first.
-FIRST = 4
+FIRST = 2
 #: Directions in which alike entries are told from others.
 DIRECTIONS = 24
 #: Text bytes whose terms are held at once.
@@ -71,12 +72,16 @@ def terms(text: str) -> list[str]:
 
 def term_counts(texts: list[str], names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, term, n): the known terms of each text in ascending order with their counts, from begin[i] to begin[i + 1]."""
-    own = [terms(t) for t in texts]
-    said = pa.array([x for o in own for x in o], pa.string()).dictionary_encode()
-    known = pc.fill_null(pc.index_in(said.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = known[said.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(own)), [len(o) for o in own])
-    key, n = np.unique((row * (len(names) + 1) + at)[at >= 0], return_counts=True)
+    own = [_WORD.findall(t.lower()) for t in texts]
+    said = pa.array(list(chain.from_iterable(own)), pa.string()).dictionary_encode()
+    words = said.dictionary
+    starts = pc.if_else(pc.greater(pc.utf8_length(words), PREFIX), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, PREFIX), ""), None)
+    row, at = np.repeat(np.arange(len(own)), [len(o) for o in own]) * (len(names) + 1), []
+    for kind in (words, starts):
+        known = pc.fill_null(pc.index_in(kind, value_set=names, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = known[said.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+        at.append((row + found)[found >= 0])
+    key, n = np.unique(np.concatenate(at), return_counts=True)
     return np.searchsorted(key, np.arange(len(own) + 1) * (len(names) + 1)), key % (len(names) + 1), n
 
 
@@ -204,14 +209,15 @@ class BlockMaxIndex:
         """What rare terms add to each entry's score; a row for each text."""
         size = self.blocks * BLOCK
         out = np.zeros((texts, size), np.float32)
-        for a in range(0, texts, ADDED):
-            own = slice(*np.searchsorted(row, [a, a + ADDED]))
-            begin = self.start[at[own]]
-            n = self.start[at[own] + 1] - begin
-            post = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            place = np.repeat((row[own] - a) * size, n) + self.entry[post]
-            b = min(texts, a + ADDED)
-            out[a:b] = np.bincount(place, np.repeat(q[own], n) * self.weight[post], minlength=(b - a) * size).reshape(b - a, size)
+        cut = np.searchsorted(row, np.arange(texts + 1))
+        for text in range(texts):
+            own = slice(cut[text], cut[text + 1])
+            begin, end = self.start[at[own]], self.start[at[own] + 1]
+            runs = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
+            if runs:
+                weight = np.concatenate([self.weight[x] for x in runs])
+                weight *= np.repeat(q[own].astype(np.float32), end - begin)
+                out[text] = np.bincount(np.concatenate([self.entry[x] for x in runs]), weight, minlength=size)
         return out
 
     def _complete(self, score: np.ndarray, full: np.ndarray, which: np.ndarray) -> None:
@@ -250,16 +256,20 @@ class BlockMaxIndex:
         w = cosine / (0.05 + 1 - np.minimum(cosine, 1))
         return float((w @ toxic + PRIOR * self.share) / (w @ count + PRIOR))
 
-    def votes(self, texts: list[str], names: pa.Array, labels: list[int] | None = None) -> list[tuple[float, list[dict]]]:
-        """Vote and evidence of each text; labels: those of examples, each left out of its own vote."""
+    def votes(self, texts: list[str], names: pa.Array, labels: list[int] | None = None) -> tuple[list[float], list[tuple[np.ndarray, np.ndarray]]]:
+        """Vote and nearest entries of each text; labels: those of examples, each left out of its own vote."""
         if not len(self.id) and not self.share:
-            return [(0.0, [])] * len(texts)
+            return [0.0] * len(texts), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
         found = self.nearest(*term_counts(texts, names), NEAREST + (labels is not None))
-        out = []
-        for i, (own, s) in enumerate(found):
-            told = [{"id": int(self.id[x]), "cosine": float(y), "examples": int(self.count[x]), "toxic": int(self.toxic[x])} for x, y in zip(own.tolist(), s.tolist(), strict=True)]
-            out.append((self.vote(own, s, labels[i] if labels is not None else None), told))
-        return out
+        return [self.vote(own, s, labels[i] if labels is not None else None) for i, (own, s) in enumerate(found)], found
+
+    def evidence(self, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+        """Lists of (id of an example, cosine, how many examples, how many of them toxic)."""
+        ends = np.concatenate([[0], np.cumsum([len(e) for e, _ in found])]).astype(np.int32)
+        own = np.concatenate([np.zeros(0, np.int64), *[e for e, _ in found]]).astype(np.int64)
+        cosine = np.concatenate([np.zeros(0), *[s for _, s in found]])
+        parts = [pa.array(self.id[own]), pa.array(cosine), pa.array(self.count[own]), pa.array(self.toxic[own])]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["id", "cosine", "examples", "toxic"]))
 
 
 def curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -283,42 +293,40 @@ def _logit(votes: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
-def _packed(*parts: np.ndarray | pa.Array) -> bytes:
-    """Arrays in few bytes: numbers by place of their bytes, which puts alike ones together."""
-    flat = [(x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()) if isinstance(x, np.ndarray) else x for x in parts]
-    return zstandard.compress(pickle.dumps(flat), 3)
+def _planes(*numbers: np.ndarray) -> bytes:
+    """32-bit numbers in few bytes: by place of their bytes, which puts alike ones together."""
+    flat = np.concatenate([x.astype("<i4") for x in numbers])
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def _unpacked(data: bytes) -> list[np.ndarray | pa.Array]:
-    def one(x):
-        if not isinstance(x, tuple):
-            return x
-        kind = np.dtype(x[0])
-        return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
 
-    return [one(x) for x in pickle.loads(zstandard.decompress(data))]
+
+def _named(names: pa.Array) -> bytes:
+    return zstandard.compress(pickle.dumps(names), 3)
 
 
 class Fitted:
     """What an index is built of, in few bytes and sent once to each executor; each worker builds it once."""
 
-    def __init__(self, spark: SparkSession, names: pa.Array, idf: np.ndarray, rows: pa.Table):
-        """rows: id, y, at and n (32-bit numbers of each example, as bytes)."""
-        self.uid, self.curve = uuid.uuid4().hex, (0.0, 1.0)
-        ids, toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
-        at, n = (rows.column(i).combine_chunks() for i in (2, 3))
-        sizes = pc.binary_length(at).to_numpy(zero_copy_only=False) // 4
-        at, n = (np.frombuffer(b"".join(x.to_pylist()), "<i4") for x in (at, n))
-        self.toxic = bool(toxic.any())
-        self.shared = spark.sparkContext.broadcast(_packed(names, idf, sizes.astype("<i4"), np.diff(at, prepend=np.int32(0)), n, ids, toxic.astype(np.int8)))
+    def __init__(self, spark: SparkSession, names: bytes, idf: np.ndarray, rows: pa.Table):
+        """rows: id, y and terms (the steps between an example's terms, then how often it has each)."""
+        self.uid, self.curve, self.toxic = uuid.uuid4().hex, (0.0, 1.0), bool(pc.any(pc.greater(rows.column(1), 0)).as_py())
+        self.shared = spark.sparkContext.broadcast((names, idf, rows))
 
     def index(self) -> tuple[BlockMaxIndex, pa.Array]:
         """The index and the names of its terms."""
         if self.uid not in _BUILT:
             _BUILT.clear()
-            names, idf, sizes, at, n, ids, toxic = _unpacked(self.shared.value)
-            begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            _BUILT[self.uid] = BlockMaxIndex(idf, begin, np.cumsum(at, dtype=np.int32), n, ids, toxic), names
+            names, idf, rows = self.shared.value
+            own = [_numbers(x) for x in rows.column(2).to_pylist()]
+            begin = np.concatenate([[0], np.cumsum([len(x) // 2 for x in own])]).astype(np.int64)
+            at, n = (np.concatenate([np.zeros(0, "<i4"), *part]) for part in ([np.cumsum(x[: len(x) // 2], dtype="<i4") for x in own], [x[len(x) // 2 :] for x in own]))
+            del own
+            ids, toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
+            _BUILT[self.uid] = BlockMaxIndex(idf, begin, at, n, ids, toxic), pickle.loads(zstandard.decompress(names))
+            tidy()
         return _BUILT[self.uid]
 
     def score(self, vote: float) -> float:
@@ -356,22 +364,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     names = found.column("term").combine_chunks()
     names = names if isinstance(names, pa.Array) else pa.concat_arrays(names.chunks)
     del found
-    told_names = _packed(names)
+    packed = _named(names)
+    del names
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names,) = _unpacked(told_names)
+        names = pickle.loads(zstandard.decompress(packed))
         for batch in pieces(batches, 2, PIECE_BYTES):
             begin, at, n = term_counts(batch.column(2).to_pylist(), names)
-            cut = lambda x: pa.array([y.tobytes() for y in np.split(x.astype("<i4"), begin[1:-1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(at), cut(n)], names=["id", "y", "at", "n"])
+            own = [_planes(np.diff(at[a:b], prepend=0), n[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["id", "y", "terms"])
 
-    out = Fitted(spark, names, weight, own.mapInArrow(vectors, "id long, y int, at binary, n binary").toArrow())
+    out = Fitted(spark, packed, weight, own.mapInArrow(vectors, "id long, y int, terms binary").toArrow())
+    tidy()
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names = out.index()
         for batch in pieces(batches, 2, PIECE_BYTES):
-            got = index.votes(batch.column(2).to_pylist(), names, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.float64())], names=["id", "y", "vote"])
+            votes, _ = index.votes(batch.column(2).to_pylist(), names, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.float64())], names=["id", "y", "vote"])
 
     if n1:
         some = spark.createDataFrame([(r["id"],) for r in told[:CALIBRATED]], "id long")
@@ -385,13 +395,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
 def score(docs: DataFrame, fitted: Fitted, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, score and evidence, one row for each row of docs."""
     kind = dict(docs.dtypes)[id_]
-    shape = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("examples", pa.int64()), ("toxic", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names = fitted.index()
         for batch in pieces(batches, 1, PIECE_BYTES):
-            got = index.votes([t or "" for t in batch.column(1).to_pylist()], names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fitted.score(g[0]) for g in got], pa.float64()), pa.array([g[1] for g in got], shape)], names=["id", "score", "evidence"])
+            votes, found = index.votes([t or "" for t in batch.column(1).to_pylist()], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fitted.score(v) for v in votes], pa.float64()), index.evidence(found)], names=["id", "score", "evidence"])
 
     out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:long,cosine:double,examples:long,toxic:long>>")
     return out.withColumnRenamed("id", id_)
