@@ -9,7 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+#: Bytes of a batch between Spark and its Python workers.
+BATCH_BYTES = 16 << 20
 #: Text bytes that one piece holds, unless a single text is longer.
 PIECE_BYTES = 8 << 20
 
@@ -52,3 +55,10 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, so that long texts do not add up to batches of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, str(1 << 30))).rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagewright.llm.arrow import pieces
+from pagewright.llm.arrow import pieces, small_batches, tidy
 
 #: Words in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 #: Text bytes whose distinct words go through one trie.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Letters at the end of a token that tell how long a token may be.
 ENDING = 3
 #: Pairs of tokens whose fit a worker keeps.
@@ -267,12 +267,14 @@ def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in pieces(batches, 1, PIECE_BYTES):
             ids, decoded = _joined(encoder, batch.column(1).cast(pa.string()).fill_null(""))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["id", "ids", "decoded"])
+        tidy()
 
     return run
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, ids (array of int) and decoded (the text that the ids stand for), one row for each row of docs."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_]
     rows = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(_encoding(path), f"id {kind}, ids array<int>, decoded string")
     return rows.withColumnRenamed("id", id_)

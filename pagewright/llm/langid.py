@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import pieces
+from pagewright.llm.arrow import pieces, small_batches, tidy
 
 CELLS = 1 << 15
 SMOOTH = 0.5
@@ -120,21 +120,30 @@ def training(id_: str = "doc_id") -> Column:
     return F.crc32(F.col(id_).cast("string")) % 4 != 2
 
 
-def identify(docs: DataFrame, model: Mixture, text: str = "text", id_: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id_, lang_pred, score (its proportion) and mixture (language to proportion), one row for each row of docs.
+def predicted(text: Column, model: Mixture) -> Column:
+    """lang_pred as a column: only the text goes to Python, and only the label comes back."""
 
-    carry: further columns of docs that pass through, none of them named like these.
-    """
+    @F.arrow_udf("string")
+    def label(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in column:
+            found = [model.proportions(t) for batch in pieces(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0) for t in batch.column(0).to_pylist()]
+            yield pa.array([max(f.items(), key=lambda x: x[1])[0] if f else UNKNOWN for f in found], pa.string())
+        tidy()
+
+    return label(text)
+
+
+def identify(docs: DataFrame, model: Mixture, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """id_, lang_pred, score (its proportion) and mixture (language to proportion), one row for each row of docs."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_]
-    more = [(f"c{i}", c, dict(docs.dtypes)[c]) for i, c in enumerate(carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             found = [model.proportions(t) for t in batch.column(1).to_pylist()]
             top = [max(f.items(), key=lambda x: x[1]) if f else (UNKNOWN, 0.0) for f in found]
             mixed = pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[0] for t in top]), pa.array([t[1] for t in top]), mixed, *batch.columns[2:]], names=["id", "lang_pred", "score", "mixture", *[c for c, _, _ in more]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[0] for t in top], pa.string()), pa.array([t[1] for t in top], pa.float64()), mixed], names=["id", "lang_pred", "score", "mixture"])
 
-    schema = f"id {kind}, lang_pred string, score double, mixture map<string,double>" + "".join(f", {c} {t}" for c, _, t in more)
-    out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t"), *[F.col(x).alias(c) for c, x, _ in more]).mapInArrow(run, schema)
-    return out.withColumnsRenamed({"id": id_} | {c: x for c, x, _ in more})
+    out = docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, lang_pred string, score double, mixture map<string,double>")
+    return out.withColumnRenamed("id", id_)

@@ -38,14 +38,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = langid.fit(docs.where(langid.training()))
-    return langid.identify(docs, model).select("doc_id", (~langid.training()).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", (~F.coalesce(langid.training(), F.lit(True))).alias("held_out"), "lang_pred", "score")
 
 
 def op6_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.fit(docs, labels.where(langid.training()))
     found = toxicity.score(docs, index)
-    return found.select("doc_id", (~langid.training()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", (~F.coalesce(langid.training(), F.lit(True))).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

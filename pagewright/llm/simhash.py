@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import binary, pieces
+from pagewright.llm.arrow import binary, pieces, small_batches
 from pagewright.llm.components import components, star_forest
 from pagewright.llm.scratch import Scratch
 
@@ -43,20 +43,25 @@ LEAF = 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Fingerprint of a UTF-8 text, unsigned."""
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included; none for a text without words."""
     words = text.lower().split()  # of bytes: A-Z and the six ASCII white-space characters only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-shingle] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    seen = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-shingle] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """A bit for each of 64, set where over half the hashes have it."""
+    if not len(found):
+        return 0
+    seen = found.astype(">u8").view(np.uint8).reshape(-1, 8)
     if len(seen) < 256:
         ones = np.unpackbits(seen, axis=1).sum(0, dtype=np.int64)
     else:
@@ -64,9 +69,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(seen)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Fingerprint of a UTF-8 text, unsigned."""
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id and fp (the fingerprint's bits as a signed long), one row for each row of docs."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             fp = np.array([fingerprint(t, shingle) for t in binary(batch.column(1)).to_pylist()], dtype=np.uint64)

@@ -418,3 +418,41 @@ def test_pipeline(spark, docs, rows, tmp_path):
     took = sum(len(re.findall(r"[^\x20\x09-\x0D]+", letters[r["doc_id"]])) for r in got)
     assert abs(took - 1.5 * size) <= 3 * longest
     assert hashlib.sha256(b"").hexdigest() not in {r["decoded_sha256"] for r in got}
+
+
+def test_stages_edges(spark):
+    """Clashing columns, null ids, shared ids, repeated rows and empty tables in every stage."""
+    import corpus_pipeline as P
+
+    extra = "_gone string, _id int, _copies int, _copy int, _size int, _digest string, _text string, id int, key string, node int"
+    long = "the river runs by the old mill and over the weir to the sea"
+    texts = [(1, long), (1, long), (None, long), (2, long + " today"), (2, "another text that has no copy here"), (None, "lone text without any id at all"), (3, None), (4, ""), (5, "1234")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, *[None] * 10) for i, t in texts], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    left = P.language(spark, docs, "")
+    assert left.columns == docs.columns and told(left) == sorted([t for t in texts if t[1] and t[1] != "1234"], key=repr)
+    left = P.exact_copies(spark, docs, "")
+    assert told(left) == sorted([t for t in texts if t not in ((None, long), (4, ""))], key=repr)
+    assert (None, "lone text without any id at all") in told(P.near_copies(spark, docs, ""))
+    mixed = P.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.count() >= 4
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert {r["doc_id"]: r["n_tokens"] for r in P.encode(spark, docs, "").collect()}[4] == 0
+
+
+def test_sketches():
+    """A sketch never rules out a pair that is similar."""
+    rng = np.random.default_rng(5)
+    hits = 0
+    for n in (1, 2, 9, 40, 300, 3000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (0, 0.05, 0.1, 0.12, 0.3, 1):
+            k = int(len(a) * share)
+            b = np.unique(np.concatenate([a[k:], rng.integers(-(1 << 62), 1 << 62, k // 2)]))
+            if not len(b):
+                continue
+            may = shingles.may_be_similar(len(a), shingles.sketch(a), len(b), shingles.sketch(b))
+            hits += not may
+            assert may or not shingles.similar(a, b)
+    assert hits
