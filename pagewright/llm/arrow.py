@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of a batch between Spark and its Python workers.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Text bytes that one piece holds, unless a single text is longer.
 PIECE_BYTES = 8 << 20
 
@@ -62,3 +62,16 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(spark.conf.get(key, str(1 << 30))).rstrip("b") or 0) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def one_thread() -> None:
+    """Keeps matrix products of this process to one thread, as a task has one core; a library without the call stays as it is."""
+    paths: set[str] = set()
+    with contextlib.suppress(OSError), open("/proc/self/maps", encoding="utf-8") as f:
+        paths = {line.split()[-1] for line in f if "openblas" in line}
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

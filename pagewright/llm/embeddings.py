@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import one_thread
 from pagewright.llm.components import components, star_forest
 from pagewright.llm.scratch import Scratch
 
@@ -122,6 +123,7 @@ def _verify(budget: float, least: float):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["id", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         held, key = [], None  # one cell, or a pair of blocks of it
         for batch in batches:  # sorted by the cell
             full: list[tuple[list[tuple], int, int]] = []

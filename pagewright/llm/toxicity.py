@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import pieces, tidy
+from pagewright.llm.arrow import one_thread, pieces, small_batches, tidy
 from pagewright.llm.scratch import Scratch
 
 MAX_LABELLED = 20_000
@@ -318,6 +318,7 @@ class Fitted:
     def index(self) -> tuple[BlockMaxIndex, pa.Array]:
         """The index and the names of its terms."""
         if self.uid not in _BUILT:
+            one_thread()
             _BUILT.clear()
             names, idf, rows = self.shared.value
             own = [_numbers(x) for x in rows.column(2).to_pylist()]
@@ -350,6 +351,7 @@ def _term_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> Fitted:
     """labels: id_ and label, already limited to what may be learned from."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    small_batches(spark)
     told = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     told = told.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()
     small = spark.createDataFrame([(r["id"], int(r["y"] > 0)) for r in told], "id long, y int")
