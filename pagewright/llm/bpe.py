@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from pagewright.llm.arrow import pieces, small_batches, tidy
 
 #: Words in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 40_000
 #: Text bytes whose distinct words go through one trie.
 PIECE_BYTES = 2 << 20
 #: Letters at the end of a token that tell how long a token may be.
