@@ -9,6 +9,10 @@ from pagewright.operators import boxes as B
 from pagewright.plans.views import duck, view
 
 
+#: Height of the page that the boxes stand on.
+PAGE_H = 520
+
+
 def _boxes(spark, d):
     rows = view(spark, d, "boxes")
     return rows.withColumn("bbox", G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
@@ -46,11 +50,18 @@ def overlap_anti_join(spark, d):
 
 
 def bubble_covered_semi(spark, d):
-    return B.met_by(*_split(spark, d), G.centre_in).select("page_id", "ix")
+    boxes, bubbles = _split(spark, d)
+    return B.covered(bubbles, boxes).select("page_id", "ix")
+
+
+def bubble_without_text(spark, d):
+    boxes, bubbles = _split(spark, d)
+    return B.without_text(bubbles, boxes).select("page_id", "ix")
 
 
 def band_handover(spark, d):
-    return B.without(*_split(spark, d), lambda a, b: G.containment(a, b) > B.SHARED_BAND).select("page_id", "ix")
+    page, band = _split(spark, d)
+    return B.handover(page, band, PAGE_H).select("page_id", "ix")
 
 
 def parent_bubble_argmin(spark, d):
@@ -73,7 +84,7 @@ def dedup_boxes_smallest(spark, d):
     return B.dedup_smallest(_boxes(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (low_confidence_filter, orientation_class, inset_box, box_iou_pairs, box_containment_pairs, overlap_anti_join, bubble_covered_semi, band_handover, parent_bubble_argmin, merge_per_bubble, nms_boxes, dedup_boxes_largest, dedup_boxes_smallest)}
+QUERIES = {f.__name__: f for f in (low_confidence_filter, orientation_class, inset_box, box_iou_pairs, box_containment_pairs, overlap_anti_join, bubble_covered_semi, bubble_without_text, band_handover, parent_bubble_argmin, merge_per_bubble, nms_boxes, dedup_boxes_largest, dedup_boxes_smallest)}
 
 _INTER = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))::BIGINT * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
 _HITS = "a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h"
@@ -93,8 +104,9 @@ ORACLE = {
     "box_iou_pairs": duck("boxes", f"SELECT page_id, ix_a, ix_b, round(s / (t - s)::DOUBLE, 6) AS iou FROM (SELECT a.page_id, a.ix AS ix_a, b.ix AS ix_b, {_INTER} AS s, a.w::BIGINT * a.h + b.w::BIGINT * b.h AS t FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.ix < b.ix) WHERE s > 0"),
     "box_containment_pairs": duck("boxes", f"SELECT a.page_id, a.ix AS ix_a, b.ix AS ix_b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.ix < b.ix WHERE {_INTER} > 0.25 * least(a.w::BIGINT * a.h, b.w::BIGINT * b.h)"),
     "overlap_anti_join": _with(f"{_SPLIT} SELECT page_id, ix FROM x a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.page_id = b.page_id AND {_HITS})"),
-    "bubble_covered_semi": _with(f"{_SPLIT} SELECT page_id, ix FROM x a WHERE EXISTS (SELECT 1 FROM g b WHERE a.page_id = b.page_id AND {_CENTRE})"),
-    "band_handover": _with(f"{_SPLIT} SELECT page_id, ix FROM x a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.page_id = b.page_id AND {_INTER} / least(a.w::BIGINT * a.h, b.w::BIGINT * b.h)::DOUBLE > 0.6)"),
+    "bubble_covered_semi": _with(f"{_SPLIT} SELECT page_id, ix FROM g b WHERE EXISTS (SELECT 1 FROM x a WHERE a.page_id = b.page_id AND ({_INTER} >= 0.25 * (a.w::BIGINT * a.h) OR {_INTER} >= 0.15 * (a.w::BIGINT * a.h + b.w::BIGINT * b.h - {_INTER})))"),
+    "bubble_without_text": _with(f"{_SPLIT} SELECT page_id, ix FROM g b WHERE NOT EXISTS (SELECT 1 FROM x a WHERE a.page_id = b.page_id AND a.x + a.w / 2 BETWEEN b.x AND b.x + b.w AND a.y + a.h / 2 BETWEEN b.y AND b.y + b.h)"),
+    "band_handover": _with(f"{_SPLIT}, o AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE a.page_id = b.page_id AND b.y + b.h > {PAGE_H} AND {_INTER} / least(a.w::BIGINT * a.h, b.w::BIGINT * b.h)::DOUBLE > 0.6)) SELECT page_id, ix FROM o UNION ALL SELECT page_id, ix FROM g a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE a.page_id = b.page_id AND {_INTER} / least(a.w::BIGINT * a.h, b.w::BIGINT * b.h)::DOUBLE > 0.6)"),
     "parent_bubble_argmin": _with(f"{_SPLIT}, {_PARENT} SELECT * FROM p"),
     "merge_per_bubble": _with(f"{_SPLIT}, {_PARENT} SELECT page_id, parent_ix, string_agg(text, ' ' ORDER BY y, x, ix) AS text, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM p JOIN x USING (page_id, ix) WHERE parent_ix IS NOT NULL GROUP BY 1, 2"),
 }

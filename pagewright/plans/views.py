@@ -38,3 +38,13 @@ def duck(names: str, sql: str) -> str:
     """sql with the views as common table expressions."""
     of = {k: v[1] for k, v in TABLES.items()} | {"models": MODELS_SQL}
     return "WITH " + ", ".join(f"{n} AS ({of[n]})" for n in names.split()) + " " + sql
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """sql over one table of sf_dir."""
+    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def union_sql(name: str, sql: str, rest: str) -> str:
+    """rest over the view name of sql, for DuckDB."""
+    return f"WITH {name} AS ({sql}) {rest}"

@@ -1 +1 @@
-"""Readers of archives and images."""
+"""Readers of image folders, archives and logs."""

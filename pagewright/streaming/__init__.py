@@ -1 +1 @@
-"""Job queue and ordered page state as streams."""
+"""Jobs as streams."""
