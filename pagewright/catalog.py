@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pagewright.plans import box_queries, rule_queries, store_queries, text_queries
+from pagewright.plans import box_queries, page_queries, rule_queries, store_queries, text_queries, table_queries
 
-QUERIES = store_queries.QUERIES | text_queries.QUERIES | box_queries.QUERIES | rule_queries.QUERIES
-ORACLE = store_queries.ORACLE | text_queries.ORACLE | box_queries.ORACLE | rule_queries.ORACLE
+_ALL = (store_queries, text_queries, box_queries, rule_queries, page_queries, table_queries)
+QUERIES = {name: f for module in _ALL for name, f in module.QUERIES.items()}
+ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}

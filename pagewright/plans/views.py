@@ -42,7 +42,8 @@ def duck(names: str, sql: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     """sql over one table of sf_dir."""
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(plain.replace(f"FROM {name}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def union_sql(name: str, sql: str, rest: str) -> str:
