@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 
 from pagewright.llm.arrow import pieces, small_batches, tidy
 
-#: Words in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
-CACHE_WORDS = 40_000
+#: Chunks in each of a worker's two cache generations; what neither holds is worked out anew, which changes no result.
+CACHE_WORDS = 100_000
 #: Text bytes whose distinct words go through one trie.
 PIECE_BYTES = 2 << 20
 #: Letters at the end of a token that tell how long a token may be.
@@ -73,8 +73,13 @@ class TrieEncoder:
         self.plain = re.compile("[\x21-\x7E\u00A1-\u012F\u0131-\u017F]+").fullmatch  # composed as they stand, each with one lower-case letter
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.recent, self.seen = Recent(), Recent()  # words; texts without white space
-        self.code = {t: i.to_bytes(4, "little") for t, i in (self.vocab | self.special).items()}
+        self.seen = Recent()  # ids of texts without white space
+        known = self.vocab | self.special
+        self.code = {t: i.to_bytes(4, "little") for t, i in known.items()}
+        shown = [""] * (max(known.values()) + 1)
+        for t, i in known.items():
+            shown[i] = t
+        self.shown = pa.array(shown, pa.string())
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The plain merge loop; used only to learn whether a token encodes to itself."""
@@ -189,22 +194,12 @@ class TrieEncoder:
                 out += self._other(piece)
         return out
 
-    def chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (four bytes each) and decoded text of texts without ASCII white space, in their order."""
+    def chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids (four bytes each) of texts without ASCII white space, in their order."""
         parts = [self._words_of(c) for c in chunks]
-        new = {w for own in parts for w in own if isinstance(w, str)}
         code = self.code.__getitem__
-        for word, tokens in self.words(self.recent.missing(new)).items():
-            self.recent.young[word] = (b"".join(map(code, tokens)), " ".join(tokens).encode())
-        known = self.recent.young
-        out = []
-        for own in parts:
-            if len(own) == 1 and isinstance(own[0], str):
-                out.append(known[own[0]])
-            else:
-                got = [known[w] if isinstance(w, str) else (code(w.decode()), w) for w in own]
-                out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])))
-        return out
+        known = {word: b"".join(map(code, tokens)) for word, tokens in self.words(list({w for own in parts for w in own if isinstance(w, str)})).items()}
+        return [b"".join([known[w] if isinstance(w, str) else code(w.decode()) for w in own]) for own in parts]
 
 
 class Recent:
@@ -249,16 +244,14 @@ def _joined(encoder: TrieEncoder, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     new = seen.missing(set(chunks))
     seen.young.update(zip(new, encoder.chunks(new), strict=True))
     got = list(map(seen.young.__getitem__, chunks))
-    n = np.array([len(ids) // 4 for ids, _ in got], np.int64)
-    pool = np.frombuffer(b"".join([ids for ids, _ in got]), "<i4")
-    told = pa.array([text for _, text in got], pa.binary()).cast(pa.string())
+    n = np.array([len(ids) // 4 for ids in got], np.int64)
+    pool = np.frombuffer(b"".join(got), "<i4")
 
     count = n[which]
     end = np.concatenate([[0], np.cumsum(count)])
-    ids = pool[np.repeat((np.cumsum(n) - n)[which] - end[:-1], count) + np.arange(end[-1])]
-    full = np.concatenate([[0], np.cumsum(count > 0)])
-    words = pa.ListArray.from_arrays(pa.array(full[begin].astype(np.int32)), told.take(pa.array(which[count > 0])))
-    return pa.ListArray.from_arrays(pa.array(end[begin].astype(np.int32)), pa.array(ids)), pc.binary_join(words, " ")
+    ids = pa.array(pool[np.repeat((np.cumsum(n) - n)[which] - end[:-1], count) + np.arange(end[-1])])
+    begin = pa.array(end[begin].astype(np.int32))
+    return pa.ListArray.from_arrays(begin, ids), pc.binary_join(pa.ListArray.from_arrays(begin, encoder.shown.take(ids)), " ")
 
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -267,6 +260,8 @@ def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in pieces(batches, 1, PIECE_BYTES):
             ids, decoded = _joined(encoder, batch.column(1).cast(pa.string()).fill_null(""))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], names=["id", "ids", "decoded"])
+        encoder.seen = Recent()
+        encoder.fits.clear()
         tidy()
 
     return run
