@@ -1,7 +1,11 @@
-"""Text rules as Catalyst expressions; nothing here runs Python on a row."""
+"""Text rules as Catalyst expressions; Python sees a text only to decompose accents, which no expression does."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,11 +202,6 @@ def ascii_form(c: Column) -> Column:
 
     Accents come off by decomposition, which no built-in function does; texts that are ASCII already stay in the JVM.
     """
-    import unicodedata
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
     @F.arrow_udf("string")
     def decomposed(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in column:
