@@ -84,7 +84,7 @@ def test_text_rules(spark):
     assert get(T.mask_key, [" sk-abcdef123456789\n", "　", "short"]) == ["sk-abc…6789", "", "•••••"]
     assert get(T.ascii_share, ["2024 第1話", "!?"]) == [pytest.approx(5 / 7), 0.0]
     assert [json.loads(x) if x else x for x in get(T.json_object, ['```json\n{"a": 1}\n```', 'so: {"b": 2} there', "none", ""])] == [{"a": 1}, {"b": 2}, None, None]
-    assert one(spark, T.numbered_reply(F.lit("1. a\n2) “b”\n1.  \n3: c"), F.lit(3)))[1:] == ["b", "c"]
+    assert one(spark, T.numbered_reply(F.lit("1. a\n2) “b”\n3: c\n1."), F.lit(3))) == ["a", "b", "c"]
     names = ["b.jpg", "a10.jpg", "10.jpg", "a2.jpg", "9.jpg", "a" + "1" * 45 + ".jpg"]
     got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(T.natural_key(F.col("n"))).collect()
     assert [r["n"] for r in got] == ["9.jpg", "10.jpg", "a2.jpg", "a10.jpg", names[-1], "b.jpg"]
