@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a batch between Spark and its Python workers.
 BATCH_BYTES = 4 << 20
@@ -57,6 +57,11 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table of values that the driver holds, made by the JVM: from Python rows it would start workers of its own on each executor."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES, so that long texts do not add up to batches of any size."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import table
 from pagewright.llm.scratch import Scratch
 
 #: White space of all text operators here: U+0020 and U+0009 to U+000D.
@@ -44,7 +45,8 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", carry
     sizes = first.groupBy("n").count().where("count > 1").select("n")
     left = first.join(scratch.cut(sizes), "n").groupBy("n", "p").count().where("count > 1")
     pages = left.select(_slot(F.col("n"), F.col("p")).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("page")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    pages = spark.createDataFrame(pages.collect(), "page long, bits binary")  # at most BITMAP_BITS / 32768 pages of 4 KB
+    pages = pages.toArrow()  # at most BITMAP_BITS / 32768 pages of 4 KB
+    pages = table(spark, page=pages.column("page"), bits=pages.column("bits"))
 
     seen = docs.select(F.col(id_).alias("id"), F.col(text).alias("t"), size, prefix, *[c.alias(k) for k, c in (carry or {}).items()])
     seen = seen.withColumn("slot", _slot(F.col("n"), F.col("p"))).withColumn("page", F.expr("bitmap_bucket_number(slot)")).join(F.broadcast(pages), "page", "left")

@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.arrow import table
 from pagewright.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,7 +111,8 @@ def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str =
     target = targets([(r["source"], r["source_size"]) for r in found], weights, share, most)
     ratio = {r["source"]: target[r["source"]] / r["source_size"] if r["source_size"] else 0.0 for r in found}
     plan = [(r["source"], r["source_size"], target[r["source"]], int(ratio[r["source"]] + _EPS), max(0.0, ratio[r["source"]] - int(ratio[r["source"]] + _EPS)), -(-r["rows"] // BLOCK)) for r in found]
-    plan_df = docs.sparkSession.createDataFrame(plan, "s string, source_size long, target double, whole int, p double, blocks long")
+    kinds = {"s": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int32(), "p": pa.float64(), "blocks": pa.int64()}
+    plan_df = table(docs.sparkSession, **{k: pa.array([x[i] for x in plan], kind) for i, (k, kind) in enumerate(kinds.items())})
     known = sized.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")  # one row for each source
     known = known.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "size"), "blocks"))
     schema = "id long, source string, size long, source_size long, target double, whole int, p double, blocks long, h long, block long"

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.arrow import one_thread, pieces, small_batches, tidy
+from pagewright.llm.arrow import one_thread, pieces, small_batches, table, tidy
 from pagewright.llm.scratch import Scratch
 
 MAX_LABELLED = 20_000
@@ -354,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     small_batches(spark)
     told = labels.select(F.col(id_).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     told = told.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()
-    small = spark.createDataFrame([(r["id"], int(r["y"] > 0)) for r in told], "id long, y int")
+    small = table(spark, id=pa.array([r["id"] for r in told], pa.int64()), y=pa.array([int(r["y"] > 0) for r in told], pa.int32()))
     own = docs.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(small), "id").select("id", "y", "t")  # max_labelled rows at most
     own = scratch.cut(own)
     n, n1 = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -386,7 +386,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.float64())], names=["id", "y", "vote"])
 
     if n1:
-        some = spark.createDataFrame([(r["id"],) for r in told[:CALIBRATED]], "id long")
+        some = table(spark, id=pa.array([r["id"] for r in told[:CALIBRATED]], pa.int64()))
         some = own.join(F.broadcast(some), "id").select("id", "y", "t")
         seen = sorted((r["vote"], r["y"]) for r in some.mapInArrow(left_out, "id long, y int, vote double").collect())  # CALIBRATED rows and those that share their ids
         out.curve = curve(np.array([v for v, _ in seen]), np.array([y for _, y in seen], float))
