@@ -218,13 +218,13 @@ def near_components(fps: DataFrame, bits: int = 4, trees: int = 5) -> DataFrame:
     large = {(r[0] >> 58, (r[0] >> 40) & 0x3FFFF): -(-r[1] // BLOCK) for r in counts}
     dealt = distinct.select("fp").mapInArrow(_routing(grown, large), "key long, part long, home long, fp long")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(_compare(bits), "u long, v long")
+    links = scratch.cut(dealt.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(_compare(bits), "u long, v long"))  # else tasks run two workers each
     joined = scratch.cut(components(links))
     known = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     known = scratch.cut(known)
     roots = scratch.cut(known.groupBy("root").agg(F.min("rep").alias("component_id")))
     out = scratch.cut(known.join(roots, "root").select("fp", "component_id"))
-    scratch.drop(distinct, joined, known, roots)
+    scratch.drop(distinct, links, joined, known, roots)
     return out
 
 
