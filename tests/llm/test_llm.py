@@ -456,3 +456,16 @@ def test_sketches():
             hits += not may
             assert may or not shingles.similar(a, b)
     assert hits
+
+
+def test_parities():
+    """Sets that the parities tell apart are never similar, whatever share of their hashes they have in common."""
+    rng, ruled = np.random.default_rng(5), 0
+    for _ in range(2_000):
+        n, alone = int(rng.integers(1, 400)), int(rng.integers(0, 60))
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate([a[: max(1, len(a) - alone)], rng.integers(-(1 << 62), 1 << 62, alone)]))
+        gone = shingles.apart(np.array([len(a)]), shingles.parities(a)[None], len(b), shingles.parities(b))[0]
+        assert not (gone and shingles.similar(a, b))
+        ruled += gone
+    assert ruled > 200
