@@ -252,3 +252,20 @@ def archive_kind(mode: Column, source: Column) -> Column:
 def download_kind(mode: Column, source: Column) -> Column:
     """The extension of a download: as packed, else as uploaded, else cbz."""
     return F.coalesce(archive_kind(mode, source), F.when(source.isin("cbz", "zip"), source), F.lit("cbz"))
+
+
+def page_stem(path: Column) -> Column:
+    """Name of a page's bundle: its file name without the last extension, after the job's number if the path names one."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    job = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"/jobs/([0-9]+)/", 1)
+    return F.when(job != "", F.concat(F.lit("j"), job, F.lit("_"), stem)).otherwise(stem)
+
+
+def caption_verdict(kind: Column, reading: Column, reply: Column, capacity: Column) -> Column:
+    """Why a caption's reading is not taken, empty if it is; the first reason counts."""
+    read, n = strip(_text(reading)), width_glyphs(strip(_text(reading)))
+    return (
+        F.when(F.upper(_text(kind)) != "CAPTION", "kind").when(read == "", "empty reading").when(~has_cjk(read), "not japanese")
+        .when(has_credit(read), "credit marker").when(n > capacity, F.concat(F.lit("implausible length "), n, F.lit(">"), capacity))
+        .when(clean_reply(reply) == "", "unusable translation").otherwise("")
+    )

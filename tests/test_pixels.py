@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.operators import lettering, masks
+from pagewright.functions import text as T
+from pagewright.operators import fonts, lettering, masks, rasters
 from pagewright.plans import pixel_queries
 
 
@@ -123,3 +124,56 @@ def test_merged():
 @pytest.mark.parametrize("name", [n for n in pixel_queries.QUERIES if n not in pixel_queries.ORACLE])
 def test_queries_run(spark, name):
     assert pixel_queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_fonts(spark):
+    catalog = [("a", "A", "a.ttf", False, 0), ("b", "B", "b.ttf", True, 1), ("comic-neue", "C", "c.ttf", False, 2)]
+    catalog = spark.createDataFrame(catalog, "font_id string, name string, filename string, is_default boolean, pos int")
+
+    def used(files, asked):
+        files = spark.createDataFrame(files, "filename string, path string, folder int")
+        listed = fonts.listing(catalog, files)
+        r = fonts.legible(fonts.resolved(spark.createDataFrame([(asked,)], "font_id string"), listed), listed).first()
+        return r["used_id"], r["path"], r["fallback"]
+
+    every = [("a.ttf", "/x/a", 1), ("a.ttf", "/w/a", 0), ("b.ttf", "/x/b", 0), ("c.ttf", "/x/c", 0)]
+    assert used(every, "a") == ("a", "/w/a", "/x/c")
+    assert used(every, "zz") == used(every, None) == ("b", "/x/b", "/x/c")
+    assert used(every, "comic-neue") == ("comic-neue", "/x/c", None)
+    assert used(every[:2], None) == ("a", "/w/a", None)
+    assert used([], "a") == (None, None, None)
+
+
+@pytest.mark.parametrize(("path", "stem"), [("/data/jobs/12/o/p.1.jpg", "j12_p.1"), ("C:\\jobs\\7\\p.png", "j7_C:\\jobs\\7\\p"), ("p", "p"), ("/a/p.png", "p")])
+def test_stems(spark, path, stem):
+    assert spark.createDataFrame([(path,)], "p string").select(T.page_stem(F.col("p")).alias("s")).first()["s"] == stem
+
+
+def test_room():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        mask = rng.random((12, 15)) < 0.3
+        runs_ = [max((len(list(g)) for k, g in itertools.groupby(c) if k), default=0) for c in mask.T]
+        assert rasters.longest_runs(mask).tolist() == runs_
+        free, (a, b), limit = rng.random(20) < 0.8, sorted(rng.integers(-2, 24, 2).tolist()), int(rng.integers(0, 9))
+        lo, hi, n = max(0, min(a, 20)), max(0, min(b, 20)), 0
+        while lo < hi and n < limit and lo - n - 1 >= 0 and hi + n < 20 and free[lo - n - 1] and free[hi + n]:
+            n += 1
+        assert rasters.room(free, a, b, limit) == n
+    assert len(rasters.free_lines(np.zeros((5, 5), bool), 3, 3, 0)) == 0
+    grey = np.full((40, 60), 255)
+    grey[:, 10:13] = grey[:, 30:50] = 0
+    assert np.flatnonzero(rasters.thin_walls(grey, 0, 40)).tolist() == [10, 11, 12]
+    assert not rasters.thin_walls(grey, 0, 7).any()
+
+
+def test_looks(spark):
+    red = np.zeros((4, 4, 3), np.uint8)
+    red[:, :, 0] = 200
+    pages = [(1, 4, 4, bytearray(b"\xff" * 48)), (2, 4, 4, bytearray(red.tobytes())), (3, 4, 4, bytearray(48))]
+    got = rasters.looks(spark.createDataFrame(pages, "page_id long, h int, w int, rgb binary")).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, True, False), (2, False, True), (3, False, False)]
+    grey = np.full((20, 20), 255)
+    grey[8:12, 8:12] = 0
+    assert rasters.glyph_like(grey, (4, 4, 12, 12)) and not rasters.glyph_like(grey, (8, 4, 12, 12)) and not rasters.glyph_like(grey, (0, 0, 7, 7))
+    assert rasters.is_bare(np.zeros((0, 3))) and rasters.is_bare(np.full((4, 4), 9)) and not rasters.is_bare(grey[:, 5:])
