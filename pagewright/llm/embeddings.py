@@ -46,6 +46,7 @@ def _blocks(d: int) -> list[np.ndarray]:
 
 def _units(rows: list) -> np.ndarray:
     x = np.array(rows, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])  # exact, so that no square overflows or vanishes
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -297,6 +298,26 @@ def test_embeddings(spark, block, monkeypatch):
     assert all((got[i]["n_links"], got[i]["component_id"]) == (0, i) for i in range(900, 906))
 
 
+def test_embeddings_extreme(spark):
+    """Vectors whose squares overflow or vanish link as others do."""
+    rows = [(0, [1e200, 1e200], 0), (1, [1.0, 1.0], 0), (2, [1e-200, 0.0], 0), (3, [5.0, 0.1], 0), (4, [5e-324, 0.0], 0), (5, [-1.0, -1.0], 0)]
+    got = by(embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {0: (1, 0), 1: (1, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2), 5: (0, 5)}
+
+
+def test_across_tries():
+    """A few partners are the first of a text's own order; without a bound all pairs of unlike components are there."""
+    n = 40
+    zero = [pa.array(np.zeros(n, np.int64))] * 4
+    cols = [np.full(n, 7), np.full(n, 20), np.arange(n) * 11 + 1, np.zeros(n), np.r_[np.zeros(30), np.arange(1, 11)]]
+    batch = pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], *zero], names=["token", "n", "node", "at", "root", *shingles._ODD])
+    told = lambda tries: {p for b in shingles._across(tries)([batch]) for p in zip(*b.to_pydict().values(), strict=True)}
+    every, few = told(None), told(3)
+    root = dict(zip(cols[2].tolist(), cols[4].tolist(), strict=True))
+    assert every == {(a, b) for a in root for b in root if a < b and root[a] != root[b]}
+    assert few < every and len(few) <= 30 and few == told(3)
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for _ in range(500):
