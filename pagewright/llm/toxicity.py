@@ -60,7 +60,7 @@ DIRECTIONS = 24
 #: Text bytes whose terms are held at once.
 PIECE_BYTES = 2 << 20
 #: The index that a worker has built, by its fit.
-_BUILT: dict[str, tuple[BlockMaxIndex, pa.Array]] = {}
+_BUILT: dict[str, tuple[BlockMaxIndex, Names]] = {}
 _WORD = re.compile(r"\w+")
 
 
@@ -70,7 +70,39 @@ def terms(text: str) -> list[str]:
     return words + ["^" + w[:PREFIX] for w in words if len(w) > PREFIX]
 
 
-def term_counts(texts: list[str], names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Python's hashes, the same within a process alone."""
+    return np.fromiter(chain.from_iterable(map(hash, words[i : i + 65_536].to_numpy(zero_copy_only=False)) for i in range(0, len(words), 65_536)), np.int64, len(words))
+
+
+class Names:
+    """Known terms, found by hashes that are sorted once; a term found so is compared."""
+
+    def __init__(self, known: pa.Array):
+        own = _hashes(known)
+        order = np.argsort(own, kind="stable")
+        self.known, self.order, self.hash = known, order.astype(np.int32), own[order]
+        self.clash = bool((self.hash[1:] == self.hash[:-1]).any())
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word among the known terms, -1 for null and others."""
+        if self.clash:
+            return pc.fill_null(pc.index_in(words, value_set=self.known, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.full(len(words), -1, np.int64)
+        if len(self) and len(words):
+            own = _hashes(words)
+            at = np.minimum(np.searchsorted(self.hash, own), len(self) - 1)
+            hit = np.flatnonzero(self.hash[at] == own)
+            at = self.order[at[hit]]
+            same = pc.fill_null(pc.equal(self.known.take(pa.array(at)), words.take(pa.array(hit))), False).to_numpy(zero_copy_only=False)
+            out[hit[same]] = at[same]
+        return out
+
+
+def term_counts(texts: list[str], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, term, n): the known terms of each text in ascending order with their counts, from begin[i] to begin[i + 1]."""
     own = [_WORD.findall(t.lower()) for t in texts]
     said = pa.array(list(chain.from_iterable(own)), pa.string()).dictionary_encode()
@@ -78,7 +110,8 @@ def term_counts(texts: list[str], names: pa.Array) -> tuple[np.ndarray, np.ndarr
     starts = pc.if_else(pc.greater(pc.utf8_length(words), PREFIX), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, PREFIX), ""), None)
     row, at = np.repeat(np.arange(len(own)), [len(o) for o in own]) * (len(names) + 1), []
     for kind in (words, starts):
-        known = pc.fill_null(pc.index_in(kind, value_set=names, skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        kind = kind.dictionary_encode(null_encoding="encode")
+        known = names.find(kind.dictionary)[kind.indices.to_numpy()]
         found = known[said.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
         at.append((row + found)[found >= 0])
     key, n = np.unique(np.concatenate(at), return_counts=True)
@@ -158,7 +191,10 @@ class BlockMaxIndex:
         rare = np.flatnonzero(column < 0)
         del column, common
         rare = rare[np.argsort(self.at[rare], kind="stable")]
-        self.entry, self.weight = entry[rare], self.unit[rare].astype(np.float32)
+        self.post = np.empty(len(rare), [("entry", np.int32), ("weight", np.float32)])
+        self.entry, self.weight = self.post["entry"], self.post["weight"]
+        self.entry[:] = entry[rare]
+        self.weight[:] = self.unit[rare]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(self.at[rare], minlength=len(self.idf)))])
 
     def nearest(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -190,11 +226,16 @@ class BlockMaxIndex:
         kth = np.partition(part, part.shape[1] - k, 1)[:, part.shape[1] - k] if part.shape[1] >= k else np.zeros(texts, np.float32)
         more = (bound >= kth[:, None] - 2 * slack) & ~done
         self._complete(score, full, more)
-        live = np.repeat(done | more, BLOCK, 1)[:, : len(self.id)]
-        score = np.where(live, score[:, : len(self.id)], np.float32(-1))
-        if score.shape[1] > k:
-            kth = np.maximum(kth, np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k])
-        i, e = np.nonzero((score >= kth[:, None] - 2 * slack) & (score > -1))
+        near = score >= kth[:, None] - 2 * slack
+        near.reshape(texts, self.blocks, BLOCK)[~(done | more)] = False
+        i, e = np.nonzero(near[:, : len(self.id)])
+        s = score[i, e]
+        cut = np.searchsorted(i, np.arange(texts + 1)).tolist()
+        for text, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b - a >= k:
+                kth[text] = max(kth[text], np.partition(s[a:b], b - a - k)[b - a - k])
+        near = s >= kth[i] - 2 * slack[i, 0]
+        i, e = i[near], e[near]
         got = self._cosines(begin, at, q, i, e)
         at_ = np.searchsorted(i, np.arange(texts + 1))
         out = []
@@ -209,21 +250,24 @@ class BlockMaxIndex:
         """What rare terms add to each entry's score; a row for each text."""
         size = self.blocks * BLOCK
         out = np.zeros((texts, size), np.float32)
-        cut = np.searchsorted(row, np.arange(texts + 1))
-        for text in range(texts):
-            own = slice(cut[text], cut[text + 1])
-            begin, end = self.start[at[own]], self.start[at[own] + 1]
-            runs = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True) if a < b]
-            if runs:
-                weight = np.concatenate([self.weight[x] for x in runs])
-                weight *= np.repeat(q[own].astype(np.float32), end - begin)
-                out[text] = np.bincount(np.concatenate([self.entry[x] for x in runs]), weight, minlength=size)
+        cut, post = np.searchsorted(row, np.arange(texts + 1)).tolist(), self.post.view(np.int64)
+        begin, q = self.start[at], q.astype(np.float32)
+        n = self.start[at + 1] - begin
+        for a, b, told in zip(cut[:-1], cut[1:], out, strict=True):
+            many = n[a:b]
+            ends = np.cumsum(many)
+            if len(ends) and ends[-1]:
+                place = np.repeat(begin[a:b] - ends + many, many)
+                place += np.arange(len(place))
+                found = post.take(place)
+                told[:] = np.bincount(found.view(np.int32)[::2], found.view(np.float32)[1::2] * np.repeat(q[a:b], many), minlength=size)
         return out
 
     def _complete(self, score: np.ndarray, full: np.ndarray, which: np.ndarray) -> None:
         """Adds the common terms to the scores of the marked blocks of each text."""
-        for b in np.flatnonzero(which.any(0)).tolist():
-            rows, cols = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+        marked = which.sum(0)
+        for b in np.flatnonzero(marked).tolist():
+            rows, cols = slice(None) if marked[b] == len(which) else np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
             score[rows, cols] += full[rows] @ self.whole[cols].T
 
     def _cosines(self, begin: np.ndarray, at: np.ndarray, q: np.ndarray, i: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -236,9 +280,10 @@ class BlockMaxIndex:
                 continue
             t = slice(begin[text], begin[text + 1])
             mine[at[t]] = q[t]
-            n = self.begin[own + 1] - self.begin[own]
-            place = np.repeat(self.begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out[cut[text] : cut[text + 1]] = np.round(np.add.reduceat(self.unit[place] * mine[self.at[place]], np.cumsum(n) - n), 12)
+            runs = [slice(a, b) for a, b in zip(self.begin[own].tolist(), self.begin[own + 1].tolist(), strict=True)]
+            n = np.cumsum([0, *[x.stop - x.start for x in runs[:-1]]])
+            unit, mine_ = np.concatenate([self.unit[x] for x in runs]), mine.take(np.concatenate([self.at[x] for x in runs]))
+            out[cut[text] : cut[text + 1]] = np.round(np.add.reduceat(unit * mine_, n), 12)
             mine[at[t]] = 0.0
         return out
 
@@ -256,7 +301,7 @@ class BlockMaxIndex:
         w = cosine / (0.05 + 1 - np.minimum(cosine, 1))
         return float((w @ toxic + PRIOR * self.share) / (w @ count + PRIOR))
 
-    def votes(self, texts: list[str], names: pa.Array, labels: list[int] | None = None) -> tuple[list[float], list[tuple[np.ndarray, np.ndarray]]]:
+    def votes(self, texts: list[str], names: Names, labels: list[int] | None = None) -> tuple[list[float], list[tuple[np.ndarray, np.ndarray]]]:
         """Vote and nearest entries of each text; labels: those of examples, each left out of its own vote."""
         if not len(self.id) and not self.share:
             return [0.0] * len(texts), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
@@ -315,7 +360,7 @@ class Fitted:
         self.uid, self.curve, self.toxic = uuid.uuid4().hex, (0.0, 1.0), bool(pc.any(pc.greater(rows.column(1), 0)).as_py())
         self.shared = spark.sparkContext.broadcast((names, idf, rows))
 
-    def index(self) -> tuple[BlockMaxIndex, pa.Array]:
+    def index(self) -> tuple[BlockMaxIndex, Names]:
         """The index and the names of its terms."""
         if self.uid not in _BUILT:
             one_thread()
@@ -326,7 +371,7 @@ class Fitted:
             at, n = (np.concatenate([np.zeros(0, "<i4"), *part]) for part in ([np.cumsum(x[: len(x) // 2], dtype="<i4") for x in own], [x[len(x) // 2 :] for x in own]))
             del own
             ids, toxic = (rows.column(i).to_numpy().astype(np.int64) for i in range(2))
-            _BUILT[self.uid] = BlockMaxIndex(idf, begin, at, n, ids, toxic), pickle.loads(zstandard.decompress(names))
+            _BUILT[self.uid] = BlockMaxIndex(idf, begin, at, n, ids, toxic), Names(pickle.loads(zstandard.decompress(names)))
             tidy()
         return _BUILT[self.uid]
 
@@ -370,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     del names
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pickle.loads(zstandard.decompress(packed))
+        names = Names(pickle.loads(zstandard.decompress(packed)))
         for batch in pieces(batches, 2, PIECE_BYTES):
             begin, at, n = term_counts(batch.column(2).to_pylist(), names)
             own = [_planes(np.diff(at[a:b], prepend=0), n[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]

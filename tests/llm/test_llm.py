@@ -217,6 +217,21 @@ def test_nearest_is_exact():
         assert sorted(index.id[entries]) == sorted(index.id[want[all_[want] > 0]]) or np.isclose(all_[want[-1]], np.sort(all_)[-17])
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_names(monkeypatch, clash):
+    """Terms are found by hashes, also if two of them share one and a word without a term does."""
+    if clash:
+        monkeypatch.setattr(toxicity, "_hashes", lambda words: np.array([len(w or "") for w in words.to_pylist()], np.int64))
+    known = ["^abcde", "a", "abcdef", "bb", "\u00e9t\u00e9"]
+    names = toxicity.Names(pa.array(known))
+    words = ["bb", None, "cc", "a", "abcdef", "", "\u00e9t\u00e9", "^abcde", "^abcdf"]
+    assert names.clash == clash and names.find(pa.array(words)).tolist() == [known.index(w) if w in known else -1 for w in words]
+    assert toxicity.Names(pa.array(["a", "bb"])).find(pa.array(["b", "bb", "a"])).tolist() == [-1, 1, 0]
+    assert toxicity.Names(pa.array([], pa.string())).find(pa.array(words)).tolist() == [-1] * len(words)
+    begin, at, n = toxicity.term_counts(["abcdef bb  BB x", "", "abcdexyz"], names)
+    assert (begin.tolist(), at.tolist(), n.tolist()) == ([0, 3, 3, 4], [0, 2, 3, 0], [1, 1, 2, 1])
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["tree", "house", "river", "cloud"]) for _ in range(20)) + (" vile" if i % 5 == 0 else "")) for i in range(400)]
