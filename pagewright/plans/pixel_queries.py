@@ -51,11 +51,11 @@ def _scaled(spark, d):
 
 
 def _found(rule):
-    return lambda spark, d: masks.boxes_of(masks.draw(_scaled(spark, d), PAGE_W, PAGE_H, 0), rule)
+    return lambda spark, d: masks.boxes_drawn(_scaled(spark, d), PAGE_W, PAGE_H, 0, rule)
 
 
-def _holes(mask: np.ndarray):
-    return masks.blob_boxes(masks.filled(mask) & ~(mask != 0), 1)
+def _holes(stack: np.ndarray):
+    return masks.blob_boxes_in(masks.filled_in(stack) & (stack == 0), 1)
 
 
 def caption_room(spark, d):
@@ -89,7 +89,7 @@ def caption_verdicts(spark, d):
 
 QUERIES = {f.__name__: f for f in (token_breaks, line_wrap, partition_shared_bubble, caption_room, font_listing, font_resolve, page_stems, caption_verdicts)}
 QUERIES |= {
-    "blob_boxes": _found(partial(masks.blob_boxes, least=20)), "filled_holes": _found(_holes), "tile_rects": _found(masks.tile_rects),
+    "blob_boxes": _found(partial(masks.blob_boxes_in, least=20)), "filled_holes": _found(_holes), "tile_rects": _found(masks.tile_rects_in),
     "merge_rects": lambda spark, d: masks.merge_boxes(_scaled(spark, d)),
 }
 ORACLE = {
