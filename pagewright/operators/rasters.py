@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.operators.folds import Box, _pages
-from pagewright.operators.masks import runs
+from pagewright.operators.folds import PLACE, Box, by_page
+from pagewright.operators.masks import drawn, runs
 
 # Mean grey of a blank page, mean chroma of a coloured one, spread of a blank patch, grey of ink and of a glyph, least
 # sides; pixels of a stroke and share of dark ones that close a line; height share, least height and greatest width of a wall.
@@ -74,23 +75,54 @@ def thin_walls(grey: np.ndarray, top: int, bottom: int) -> np.ndarray:
     return out
 
 
+def _tallies(dark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first i pixels along the first axis are set, and how many strokes begin there."""
+    n, *others = dark.shape
+    strokes = dark[: max(0, n - STROKE + 1)].copy()
+    for k in range(1, STROKE):
+        strokes &= dark[k : k + len(strokes)]
+    out = []
+    for what in (dark, strokes):
+        sums = np.zeros((n + 1, *others), np.min_scalar_type(n))
+        for i in range(n):
+            sums[i + 1] = sums[i] + what[i] if i < len(what) else sums[i]
+        out.append(sums)
+    return out[0], out[1]
+
+
+def _rooms_along(dark: np.ndarray, mask: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    """room(free_lines(...)) for many boxes at once: bands from low to high along the first axis of dark (length, masks, lines).
+
+    A box's own pixels need not be taken off: they lie in lines from begin to end, which room() does not ask for.
+    """
+    length, _, lines = dark.shape
+    sums, strokes = _tallies(dark)
+    low, high = np.clip(low, 0, length), np.clip(high, 0, length)
+    n = high - low
+    free = strokes[np.maximum(low, high - STROKE + 1), mask] == strokes[low, mask]
+    free &= (sums[np.maximum(low, high), mask] - sums[low, mask]) / np.maximum(n, 1)[:, None] < DARK
+    at, each = np.arange(lines, dtype=np.int32), np.arange(len(mask))
+    last, next_ = np.full((len(mask), lines + 1), -1, np.int32), np.full((len(mask), lines + 1), lines, np.int32)
+    np.maximum.accumulate(np.where(free, -1, at), axis=1, out=last[:, 1:])
+    next_[:, :-1] = np.minimum.accumulate(np.where(free, lines, at)[:, ::-1], axis=1)[:, ::-1]
+    begin, end = np.clip(begin, 0, lines), np.clip(end, 0, lines)
+    got = np.minimum(np.minimum(begin - 1 - last[each, begin], next_[each, end] - end), limit)
+    return np.where((n > 0) & (begin < end), got, 0).astype(np.int32)
+
+
 def rooms(boxes: DataFrame, w: int, h: int, limit: int) -> DataFrame:
     """page_id, ix, wider, taller: how far each box can grow sideways and up and down without meeting the other boxes of its page."""
 
-    def rule(page: int, rows: list) -> list[tuple]:
-        drawn = np.zeros((h, w), np.int32)
-        place = lambda r: (slice(max(0, r.y), max(0, r.y + r.h)), slice(max(0, r.x), max(0, r.x + r.w)))
-        for r in rows:
-            drawn[place(r)] += 1
-        out = []
-        for r in rows:
-            dark = drawn.copy()
-            dark[place(r)] -= 1
-            sides = free_lines(dark > 0, r.y, r.y + r.h, 0), free_lines(dark > 0, r.x, r.x + r.w, 1)
-            out.append((page, r.ix, room(sides[0], r.x, r.x + r.w, limit), room(sides[1], r.y, r.y + r.h, limit)))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, mask, out in drawn(batch, w, h, 0):
+                x, y, wide, tall = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xywh")
+                down, across = (np.ascontiguousarray(out.transpose(axes)).view(bool) for axes in ((1, 0, 2), (2, 0, 1)))
+                wider = _rooms_along(down, mask, y, y + tall, x, x + wide, limit)
+                taller = _rooms_along(across, mask, x, x + wide, y, y + tall, limit)
+                yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.int32()), pa.array(wider), pa.array(taller)], names=["page_id", "ix", "wider", "taller"])
 
-    return _pages(boxes, rule, "page_id long, ix int, wider int, taller int")
+    return by_page(boxes, run, "page_id long, ix int, wider int, taller int", PLACE)
 
 
 def looks(images: DataFrame) -> DataFrame:

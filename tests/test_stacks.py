@@ -1,9 +1,9 @@
-"""Rules of stacked masks against the same rules on one mask at a time."""
+"""Rules of stacked masks against the same rules on one mask at a time, and rooms against their plain rule."""
 
 import numpy as np
 import pytest
 
-from pagewright.operators import masks
+from pagewright.operators import masks, rasters
 
 
 def _stack(rng, n=9, h=23, w=31):
@@ -62,3 +62,20 @@ def test_drawn_in_one_go(spark):
     assert sorted(one_go.collect()) == sorted(apart.collect())
     calls = [x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in (one_go, apart)]
     assert 2 * calls[0] == calls[1]
+
+
+def test_rooms(spark):
+    rng = np.random.default_rng(8)
+    table = [(p, i, *map(int, rng.integers([-8, -8, -1, -1], [65, 45, 16, 16]))) for p in range(60) for i in range(p % 6 + 1)]
+    boxes = spark.createDataFrame(table, "page_id long, ix int, x int, y int, w int, h int")
+    want = []
+    for p, i, x, y, w, h in table:
+        dark = np.zeros((40, 60), bool)
+        for q, j, a, b, c, d in table:
+            if q == p and j != i:
+                dark[max(0, b) : max(0, b + d), max(0, a) : max(0, a + c)] = True
+        free = [rasters.free_lines(dark, y, y + h, 0), rasters.free_lines(dark, x, x + w, 1)]
+        want.append((p, i, rasters.room(free[0], x, x + w, 9), rasters.room(free[1], y, y + h, 9)))
+    found = rasters.rooms(boxes, 60, 40, 9)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
