@@ -84,24 +84,39 @@ BALLOON_SLACK, BALLOON_PAGE, BALLOON_TIMES = 2, 0.55, 6.0
 LEAST_ON_PAGE = 12
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), in which value is computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def polygon_box(points: Column) -> Column:
     """Box of an array of struct<x,y>; fractions are cut off."""
-    side = lambda pick, f: pick(F.transform(points, lambda p: p[f])).cast("int")
-    x0, y0 = side(F.array_min, "x"), side(F.array_min, "y")
-    return box(x0, y0, side(F.array_max, "x") - x0, side(F.array_max, "y") - y0)
+
+    def around(points: Column) -> Column:
+        side = lambda pick, f: pick(F.transform(points, lambda p: p[f])).cast("int")
+        sides = F.struct(side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
+        return _let(sides, lambda s: box(s["x0"], s["y0"], s["x1"] - s["x0"], s["y1"] - s["y0"]))
+
+    return _let(points, around)
 
 
 def quad_angle(points: Column) -> Column:
     """Degrees of the longest edge (the first of equals), turned into -45 to 45."""
-    n = F.size(points)
 
-    def edge(p: Column, i: Column) -> Column:
-        q = F.get(points, (i + 1) % n)
-        dx, dy = (q["x"] - p["x"]).cast("double"), (q["y"] - p["y"]).cast("double")
-        return F.struct(F.hypot(dx, dy).alias("size"), (-i).alias("first"), F.degrees(F.atan2(dy, dx)).alias("turn"))
+    def longest(points: Column) -> Column:
+        n = F.size(points)
+
+        def edge(p: Column, i: Column) -> Column:
+            q = F.get(points, (i + 1) % n)
+            dx, dy = (q["x"] - p["x"]).cast("double"), (q["y"] - p["y"]).cast("double")
+            return F.struct(F.hypot(dx, dy).alias("size"), (-i).alias("first"), F.degrees(F.atan2(dy, dx)).alias("turn"))
+
+        return F.array_max(F.transform(points, edge))["turn"]
+
+    def turned(turn: Column) -> Column:
+        return turn - 90 * F.when(turn > 45, F.ceil((turn - 45) / 90)).when(turn < -45, F.floor((turn + 45) / 90)).otherwise(0)
 
-    turn = F.array_max(F.transform(points, edge))["turn"]
-    return turn - 90 * F.when(turn > 45, F.ceil((turn - 45) / 90)).when(turn < -45, F.floor((turn + 45) / 90)).otherwise(0)
+    return _let(_let(points, longest), turned)
 
 
 def is_noise(w: Column, h: Column, score: Column) -> Column:
