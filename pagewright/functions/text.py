@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -183,13 +185,14 @@ def has_cjk(c: Column) -> Column:
     return _text(c).rlike(f"[{KANA}{HANZI}{CJK_MARKS}]")
 
 
+def _any_of(marks: tuple[str, ...] | list[str]) -> str:
+    """A pattern that finds any of some wordings, ASCII letters in either case."""
+    return "|".join(f"(?i:{re.escape(m)})" if m.isascii() else m for m in marks)
+
+
 def has_credit(c: Column) -> Column:
     """Whether a reading carries wording of publishers or authors; ASCII wording in either case."""
-    t = _text(c)
-    found = F.lit(False)
-    for mark in CREDITS:
-        found = found | (F.contains(F.lower(t), F.lit(mark.lower())) if mark.isascii() else F.contains(t, F.lit(mark)))
-    return found
+    return _text(c).rlike(_any_of(CREDITS))
 
 
 def width_glyphs(c: Column) -> Column:
@@ -215,12 +218,28 @@ def ascii_form(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"[^\x00-\x7F]", ""))
 
 
+def is_refusal(c: Column) -> Column:
+    return _text(c).rlike(_any_of(REFUSALS))
+
+
 def clean_reply(c: Column) -> Column:
     """A reply as ASCII; empty where it is a refusal."""
-    low, refused = F.lower(strip(_text(c))), F.lit(False)
-    for mark in REFUSALS:
-        refused = refused | F.contains(low, F.lit(mark))
-    return F.when(refused, "").otherwise(ascii_form(strip(_text(c))))
+    return F.when(is_refusal(c), "").otherwise(ascii_form(strip(_text(c))))
+
+
+@cache
+def _letterable() -> str:
+    """A class of the characters whose ASCII form is more than white space, ASCII ones first."""
+    plain = lambda c: PLAIN.get(c, "".join(PLAIN.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)))
+    seen = [i for i in range(128, 0x110000) if any(x < "\x80" and not re.match(f"[{SPACE}]", x) for x in plain(chr(i)))]
+    first = [i for i, before in zip(seen, [0, *seen], strict=False) if i != before + 1]
+    last = [i for i, after in zip(seen, [*seen[1:], 0], strict=True) if i + 1 != after]
+    return r"\x00-\x08\x0E-\x1B!-\x7F" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(first, last, strict=True))
+
+
+def is_unusable(c: Column) -> Column:
+    """clean_reply(c) == "", without a decomposition: whether a reply is a refusal or nothing of it is left in ASCII."""
+    return is_refusal(c) | ~_text(c).rlike(f"[{_letterable()}]")
 
 
 def echoes(c: Column) -> Column:
@@ -265,7 +284,7 @@ def caption_verdict(kind: Column, reading: Column, reply: Column, capacity: Colu
     """Why a caption's reading is not taken, empty if it is; the first reason counts."""
     read, n = strip(_text(reading)), width_glyphs(strip(_text(reading)))
     return (
-        F.when(F.upper(_text(kind)) != "CAPTION", "kind").when(read == "", "empty reading").when(~has_cjk(read), "not japanese")
-        .when(has_credit(read), "credit marker").when(n > capacity, F.concat(F.lit("implausible length "), n, F.lit(">"), capacity))
-        .when(clean_reply(reply) == "", "unusable translation").otherwise("")
+        F.when(F.upper(_text(kind)) != "CAPTION", "kind").when(~_text(reading).rlike(f"[^{SPACE}]"), "empty reading").when(~has_cjk(read), "not japanese")
+        .when(has_credit(reading), "credit marker").when(n > capacity, F.concat(F.lit("implausible length "), n, F.lit(">"), capacity))
+        .when(is_unusable(reply), "unusable translation").otherwise("")
     )

@@ -90,10 +90,9 @@ def bullets(boxes: DataFrame, mark: str = "●") -> DataFrame:
 
 def caption_candidates(boxes: DataFrame) -> DataFrame:
     """Horizontal boxes of one to 60 characters of CJK text without credits or translation, at most 130 high."""
-    t = T.strip(F.coalesce("text", F.lit("")))
-    small = F.char_length(t).between(1, CAPTION_CHARS) & F.col("bbox.h").between(1, CAPTION_HEIGHT)
-    bare = F.coalesce("translation", F.lit("")) == ""
-    return boxes.where((F.col("kind") == "horizontal") & small & T.has_cjk(t) & ~T.has_credit(t) & bare)
+    bare = (F.coalesce("translation", F.lit("")) == "") & F.col("bbox.h").between(1, CAPTION_HEIGHT)
+    short = F.exists(F.array(T.strip(F.coalesce("text", F.lit("")))), lambda t: F.char_length(t).between(1, CAPTION_CHARS) & T.has_cjk(t))  # one strip for all tests
+    return boxes.where((F.col("kind") == "horizontal") & bare & short & ~T.has_credit(F.col("text")))
 
 
 def unbubbled(boxes: DataFrame, bubbles: DataFrame, drop: Column) -> DataFrame:
