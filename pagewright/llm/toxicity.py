@@ -2,9 +2,9 @@
 
 Terms are words and word beginnings, all that the labelled sample has.  A term weighs by its inverse document frequency,
 and more where toxic examples hold it more often than others beyond chance (times the standard deviations, 1 at least).
-Labelled examples with equal vectors are one entry with counts; alike entries lie in one block.  Rare terms' postings are
-added up for a batch of documents; what the common terms can add is bounded by their greatest weight in each block.  The
-most promising blocks of a document are completed first and give the k-th best score; then every block whose bound reaches
+Labelled examples with equal vectors are one entry with counts; alike entries lie in one block.  A block keeps the weights of
+the terms that many of its entries hold as rows, all else is postings.  Postings are added up for a batch of alike documents;
+what the rows can add is bounded by the greatest weight of each.  The most promising blocks of a document are completed first and give the k-th best score; then every block whose bound reaches
 it.  Sums are taken in single precision with a slack above their rounding, and all entries within the slack of the k-th are
 recomputed in double, so the k nearest are exact (to 12 decimals, by which they are ranked).
 
@@ -28,8 +28,8 @@ import math
 import pickle
 import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -45,14 +45,19 @@ from pagewright.llm.scratch import Scratch
 MAX_LABELLED = 20_000
 #: Labelled rows of least hash on which the curve from votes to scores is fitted.
 CALIBRATED = 2_048
-#: Share of entries above which a term is common.
+#: Share of entries above which a term tells alike entries from others.
 COMMON = 0.05
 PREFIX = 5
 BLOCK = 256
 NEAREST = 16
 PRIOR = 0.5
+#: A term of this share of entries has a row of weights, instead of postings, in each block of which so many entries hold it.
+OFTEN = 0.02
+HELD = 18
 #: Documents that are looked up together.
-BATCH = 128
+BATCH = 256
+#: Postings that are added up at once, and those of one term more.
+POSTINGS = 1 << 17
 #: Blocks of a document that are completed first.
 FIRST = 2
 #: Directions in which alike entries are told from others.
@@ -64,12 +69,6 @@ _BUILT: dict[str, tuple[BlockMaxIndex, Names]] = {}
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str) -> list[str]:
-    """Words of a text and, with a mark, the first letters of longer words."""
-    words = _WORD.findall(text.lower())
-    return words + ["^" + w[:PREFIX] for w in words if len(w) > PREFIX]
-
-
 def _hashes(words: pa.Array) -> np.ndarray:
     """Python's hashes, the same within a process alone."""
     return np.fromiter(chain.from_iterable(map(hash, words[i : i + 65_536].to_numpy(zero_copy_only=False)) for i in range(0, len(words), 65_536)), np.int64, len(words))
@@ -102,20 +101,56 @@ class Names:
         return out
 
 
+@lru_cache(1)
+def _worded() -> np.ndarray:
+    """Whether _WORD takes each code point, which its neighbours don't change."""
+    out = np.zeros(0x110000, bool)
+    for first in range(0, len(out), 1 << 16):
+        for m in _WORD.finditer("".join(map(chr, range(first, first + (1 << 16))))):
+            out[first + m.start() : first + m.end()] = True
+    return out
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """All that _WORD finds in the texts in small letters, one after another, and the place of each one's text."""
+    own = [t.lower().encode() for t in texts]
+    data = b"\n".join([*own, b""])
+    taken = _worded()[np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)]
+    data = np.frombuffer(data, np.uint8)
+    if len(taken) < len(data):
+        taken = np.repeat(taken, np.diff(np.flatnonzero((data & 0xC0) != 0x80), append=len(data)))
+    edges = np.flatnonzero(np.diff(taken.view(np.int8), prepend=np.int8(0)))
+    ends = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+    row = np.searchsorted(np.cumsum([len(o) + 1 for o in own]), edges[::2], side="right")
+    return row, pa.StringArray.from_buffers(len(row), pa.py_buffer(ends), pa.py_buffer(data[taken]))
+
+
+def _starts(words: pa.Array) -> pa.Array:
+    """With a mark, the first letters of longer words; null for the others."""
+    return pc.if_else(pc.greater(pc.utf8_length(words), PREFIX), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, PREFIX), ""), None)
+
+
 def term_counts(texts: list[str], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, term, n): the known terms of each text in ascending order with their counts, from begin[i] to begin[i + 1]."""
-    own = [_WORD.findall(t.lower()) for t in texts]
-    said = pa.array(list(chain.from_iterable(own)), pa.string()).dictionary_encode()
+    row, said = _words(texts)
+    said = said.dictionary_encode()
     words = said.dictionary
-    starts = pc.if_else(pc.greater(pc.utf8_length(words), PREFIX), pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words, 0, PREFIX), ""), None)
-    row, at = np.repeat(np.arange(len(own)), [len(o) for o in own]) * (len(names) + 1), []
-    for kind in (words, starts):
+    row, at = row * (len(names) + 1), []
+    for kind in (words, _starts(words)):
         kind = kind.dictionary_encode(null_encoding="encode")
         known = names.find(kind.dictionary)[kind.indices.to_numpy()]
         found = known[said.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
         at.append((row + found)[found >= 0])
     key, n = np.unique(np.concatenate(at), return_counts=True)
-    return np.searchsorted(key, np.arange(len(own) + 1) * (len(names) + 1)), key % (len(names) + 1), n
+    return np.searchsorted(key, np.arange(len(texts) + 1) * (len(names) + 1)), key % (len(names) + 1), n
+
+
+def _rows(begin: np.ndarray, at: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the texts (as term_counts gives them) at the places which, in that order."""
+    many = begin[which + 1] - begin[which]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    place = np.repeat(begin[which] - ends[:-1], many) + np.arange(ends[-1])
+    return ends, at[place], n[place]
 
 
 class BlockMaxIndex:
@@ -147,7 +182,7 @@ class BlockMaxIndex:
             self.unit[a:b] = w / math.sqrt(float(w @ w))
         del own, at, n
         self.blocks = -(-len(self.id) // BLOCK)
-        self._post()
+        self._post(self._dense())
 
     def _columns(self, df: np.ndarray, entries: int) -> np.ndarray:
         """The column of each common term, -1 for the others."""
@@ -180,42 +215,73 @@ class BlockMaxIndex:
             open_ += [part[half:], part[:half]]
         return out
 
-    def _post(self) -> None:
-        entry = np.repeat(np.arange(len(self.id), dtype=np.int32), np.diff(self.begin))
-        column = self.column[self.at]
-        common = np.flatnonzero(column >= 0)
-        width = int(self.column.max(initial=-1)) + 1
-        self.whole = np.zeros((self.blocks * BLOCK, width), np.float32)
-        self.whole[entry[common], column[common]] = self.unit[common]
-        self.most = np.ascontiguousarray(self.whole.reshape(self.blocks, BLOCK, width).max(1).T) if self.blocks else np.zeros((width, 0), np.float32)
-        rare = np.flatnonzero(column < 0)
-        del column, common
+    def _dense(self) -> np.ndarray:
+        """Rows of weights of each block, for terms that it holds often; which of all entries' terms are in them."""
+        held, own = np.zeros(len(self.at), bool), []
+        few = np.bincount(self.at, minlength=len(self.idf)) <= OFTEN * len(self.id)
+        ends = self.begin[np.minimum(np.arange(self.blocks + 1) * BLOCK, len(self.id))].tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            n = np.bincount(self.at[a:b], minlength=len(self.idf))
+            n[few] = 0
+            own.append(np.flatnonzero(n >= HELD))
+            held[a:b] = n[self.at[a:b]] >= HELD
+        self.column = np.full(len(self.idf), -1, np.int32)
+        some = np.unique(np.concatenate([np.zeros(0, np.int64), *own]))
+        self.column[some] = np.arange(len(some))
+        self.columns = [self.column[o] for o in own]
+        self.row = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64).tolist()
+        self.whole = np.zeros((self.row[-1], BLOCK), np.float32)
+        self.most = np.zeros((len(some), self.blocks), np.float32)
+        place = np.zeros(len(self.idf), np.int64)
+        for i, (a, b, terms_) in enumerate(zip(ends[:-1], ends[1:], own, strict=True)):
+            place[terms_] = np.arange(len(terms_))
+            part, first = self.whole[self.row[i] : self.row[i + 1]], i * BLOCK
+            entry = np.repeat(np.arange(min(BLOCK, len(self.id) - first)), np.diff(self.begin[first : first + BLOCK + 1]))
+            part[place[self.at[a:b][held[a:b]]], entry[held[a:b]]] = self.unit[a:b][held[a:b]]
+            self.most[self.columns[i], i] = part.max(1)
+        return held
+
+    def _post(self, held: np.ndarray) -> None:
+        """Postings of all that is not held in rows of a block."""
+        rare = np.flatnonzero(~held)
         rare = rare[np.argsort(self.at[rare], kind="stable")]
         self.post = np.empty(len(rare), [("entry", np.int32), ("weight", np.float32)])
         self.entry, self.weight = self.post["entry"], self.post["weight"]
-        self.entry[:] = entry[rare]
+        self.entry[:] = np.repeat(np.arange(len(self.id), dtype=np.int32), np.diff(self.begin))[rare]
         self.weight[:] = self.unit[rare]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.at[rare], minlength=len(self.idf)))])
+        n = np.bincount(self.at[rare], minlength=len(self.idf))
+        self.start = np.concatenate([[0], np.cumsum(n)])
+        self.steps = np.arange(min(len(rare), POSTINGS + int(n.max(initial=0))))
+        self.room = [np.empty(len(self.steps), kind) for kind in (np.int64, np.int64, np.float32)]
 
     def nearest(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text (as term_counts gives them) the k entries of greatest cosine above 0, exactly: (entries, cosines)."""
-        out = []
-        for a in range(0, len(begin) - 1, BATCH):
-            b = min(len(begin) - 1, a + BATCH)
-            cut = slice(begin[a], begin[b])
-            out += self._batch(begin[a : b + 1] - begin[a], at[cut], n[cut], k)
+        """For each text (as term_counts gives them) the k entries of greatest cosine above 0, exactly: (entries, cosines).  Alike texts are looked up together."""
+        texts, n = len(begin) - 1, 1 + np.log(n)
+        some = [slice(a, min(a + BATCH, texts)) for a in range(0, texts, BATCH)]
+        best = [self._asked(*_rows(begin, at, n, np.arange(s.start, s.stop)))[2] @ self.most for s in some] if self.blocks else []
+        order = np.argsort(np.concatenate([x.argmax(1) for x in best]), kind="stable") if best else np.arange(texts)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * texts
+        for s in some:
+            for text, found in zip(order[s].tolist(), self._batch(*_rows(begin, at, n, order[s]), k), strict=True):
+                out[text] = found
         return out
 
-    def _batch(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        texts, size = len(begin) - 1, self.blocks * BLOCK
+    def _asked(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text and weight of each term, and a row of weights by column for each text."""
+        texts = len(begin) - 1
         row = np.repeat(np.arange(texts), np.diff(begin))
-        q = (1 + np.log(n)) * self.idf[at]
+        q = n * self.idf[at]
         q /= np.sqrt(np.bincount(row, q * q, minlength=texts))[row]
         column = self.column[at]
-        full = np.zeros((texts, self.whole.shape[1]), np.float32)
+        full = np.zeros((texts, len(self.most)), np.float32)
         full[row[column >= 0], column[column >= 0]] = q[column >= 0]
-        score = self._rare(texts, row, at, np.where(column < 0, q, 0.0))
-        slack = (2 * (np.bincount(row, column >= 0, minlength=texts) + 8) * 2.0**-24).astype(np.float32)[:, None]  # above the rounding of sums of so many terms, 1 at most in all
+        return row, q, full
+
+    def _batch(self, begin: np.ndarray, at: np.ndarray, n: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        texts = len(begin) - 1
+        row, q, full = self._asked(begin, at, n)
+        score = self._rare(texts, row, at, q)
+        slack = (2 * (np.bincount(row, minlength=texts) + 8) * 2.0**-24).astype(np.float32)[:, None]  # above the rounding of sums of so many terms, 1 at most in all
 
         bound = score.reshape(texts, self.blocks, BLOCK).max(2) + full @ self.most + slack
         done = np.zeros((texts, self.blocks), bool)
@@ -247,28 +313,30 @@ class BlockMaxIndex:
         return out
 
     def _rare(self, texts: int, row: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What rare terms add to each entry's score; a row for each text."""
-        size = self.blocks * BLOCK
-        out = np.zeros((texts, size), np.float32)
+        """What postings add to each entry's score; a row for each text."""
+        out = np.zeros((texts, self.blocks * BLOCK), np.float32)
         cut, post = np.searchsorted(row, np.arange(texts + 1)).tolist(), self.post.view(np.int64)
         begin, q = self.start[at], q.astype(np.float32)
-        n = self.start[at + 1] - begin
+        many = self.start[at + 1] - begin
         for a, b, told in zip(cut[:-1], cut[1:], out, strict=True):
-            many = n[a:b]
-            ends = np.cumsum(many)
-            if len(ends) and ends[-1]:
-                place = np.repeat(begin[a:b] - ends + many, many)
-                place += np.arange(len(place))
-                found = post.take(place)
-                told[:] = np.bincount(found.view(np.int32)[::2], found.view(np.float32)[1::2] * np.repeat(q[a:b], many), minlength=size)
+            cuts = [a, *(np.flatnonzero(np.diff(np.cumsum(many[a:b]) // POSTINGS)) + a + 1).tolist(), b]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                n = many[x:y]
+                ends = np.cumsum(n)
+                size = int(ends[-1]) if y > x else 0
+                place, found, value = (r[:size] for r in self.room)
+                np.add(np.repeat(begin[x:y] - ends + n, n), self.steps[:size], out=place)
+                post.take(place, out=found, mode="clip")
+                place[:] = found.view(np.int32)[::2]
+                np.multiply(found.view(np.float32)[1::2], np.repeat(q[x:y], n), out=value)
+                np.add.at(told, place, value)
         return out
 
     def _complete(self, score: np.ndarray, full: np.ndarray, which: np.ndarray) -> None:
-        """Adds the common terms to the scores of the marked blocks of each text."""
-        marked = which.sum(0)
-        for b in np.flatnonzero(marked).tolist():
-            rows, cols = slice(None) if marked[b] == len(which) else np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            score[rows, cols] += full[rows] @ self.whole[cols].T
+        """Adds the terms that a block holds often to the scores of the marked blocks of each text."""
+        for b in np.flatnonzero(which.any(0)).tolist():
+            rows = np.flatnonzero(which[:, b])
+            score[rows, b * BLOCK : (b + 1) * BLOCK] += full[rows].take(self.columns[b], 1) @ self.whole[self.row[b] : self.row[b + 1]]
 
     def _cosines(self, begin: np.ndarray, at: np.ndarray, q: np.ndarray, i: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Cosine of text i and entry e in double precision, pair by pair, to 12 decimals; i ascends."""
@@ -383,14 +451,15 @@ class Fitted:
 
 def _term_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, examples, toxic ones) of a partition of the labelled sample."""
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for batch in batches:
-        for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for t in set(terms(text)):
-                seen[t][0] += 1
-                seen[t][1] += toxic
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "n", "toxic"])
+    for batch in pieces(batches, 2, PIECE_BYTES):
+        row, said = _words(batch.column(2).to_pylist())
+        said = said.dictionary_encode()
+        for kind in (said.dictionary, _starts(said.dictionary)):
+            kind = kind.dictionary_encode()
+            own = pc.fill_null(kind.indices, len(kind.dictionary)).to_numpy(zero_copy_only=False)[said.indices.to_numpy()] if len(said) else np.zeros(0, np.int64)
+            text, term = np.divmod(np.unique(row * (len(kind.dictionary) + 1) + own), len(kind.dictionary) + 1)
+            n, toxic = (np.bincount(term, y, minlength=len(kind.dictionary) + 1)[:-1].astype(np.int64) for y in (None, batch.column(1).to_numpy()[text]))
+            yield pa.RecordBatch.from_arrays([kind.dictionary, pa.array(n), pa.array(toxic)], names=["term", "n", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text", id_: str = "doc_id", label: str = "toxic") -> Fitted:

@@ -232,6 +232,58 @@ def test_names(monkeypatch, clash):
     assert (begin.tolist(), at.tolist(), n.tolist()) == ([0, 3, 3, 4], [0, 2, 3, 0], [1, 1, 2, 1])
 
 
+def test_rows_of_blocks():
+    """Blocks of one vocabulary keep no rows of another's terms, and a term that they hold seldom has postings; cosines stay exact in any mix of texts."""
+    rng = np.random.default_rng(5)
+    idf, rows = rng.random(400) + 0.5, []
+    for i in range(1024):
+        own = np.concatenate([np.arange(40), rng.choice(np.arange(40, 200), 20, replace=False)]) + 200 * (i % 2)
+        rows.append({int(t): int(rng.integers(1, 4)) for t in sorted({*own, *(rng.choice(400, 2) if i % 10 == 0 else ())})})
+    flat = lambda rows: (np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.array([t for r in rows for t in r], "<i4"), np.array([n for r in rows for n in r.values()], "<i4"))
+    index = toxicity.BlockMaxIndex(idf, *flat(rows), np.arange(len(rows)), np.arange(len(rows)) % 7 == 0)
+    assert 0 < index.whole.size <= 0.7 * index.blocks * toxicity.BLOCK * len(index.most) and len(index.post)
+    own = _dense(idf, rows)[index.id]
+    asked = [{}, *rows[:600], {3: 2, 390: 1}]
+    found = index.nearest(*flat(asked))
+    assert len(found) == len(asked) and not len(found[0][0])
+    for x, (entries, cosine) in zip(_dense(idf, asked)[1:], found[1:], strict=True):
+        all_ = np.round(own @ x, 12)
+        assert np.allclose(cosine, np.sort(all_)[::-1][:16], atol=1e-9) and np.allclose(all_[entries], cosine, atol=1e-9)
+
+
+def test_postings_in_parts(monkeypatch):
+    """Postings that are added up in several parts give the same scores."""
+    rng = np.random.default_rng(8)
+    idf = rng.random(500) + 0.5
+    begin, at = np.arange(301) * 30, np.concatenate([np.sort(rng.choice(500, 30, replace=False)) for _ in range(300)]).astype("<i4")
+    n = np.ones(len(at), "<i4")
+    want = toxicity.BlockMaxIndex(idf, begin, at, n, np.arange(300), np.zeros(300, bool)).nearest(begin, at, n)
+    monkeypatch.setattr(toxicity, "POSTINGS", 7)
+    index = toxicity.BlockMaxIndex(idf, begin, at, n, np.arange(300), np.zeros(300, bool))
+    assert len(index.steps) < 100
+    assert all(a.tolist() == c.tolist() and b.tolist() == d.tolist() for (a, b), (c, d) in zip(want, index.nearest(begin, at, n), strict=True))
+
+
+def test_words_and_frequencies():
+    """Words cut by code points are those of the expression, whatever the letters; frequencies count an example once."""
+    word = re.compile(r"\w+")
+    texts = ["\u0130stanbul \u039f\u0394\u039f\u03a3 \u03a3 x_1 \u00bd\u00b2 \U0001e922\U00010330 a\u0301b", "", "\n\n", "one\ntwo \U0001f600three", "".join(map(chr, [*range(0x3000), *range(0xFE00, 0x11000)]))]
+    row, said = toxicity._words(texts)
+    assert list(zip(row.tolist(), said.to_pylist(), strict=True)) == [(i, w) for i, t in enumerate(texts) for w in word.findall(t.lower())]
+    assert toxicity._words([])[1].to_pylist() == toxicity._words(["", " "])[1].to_pylist() == []
+    examples = [(1, "abcdef abcdef bb"), (0, "Abcdexyz bb, bb"), (1, ""), (0, "\u00e9t\u00e9s\u00e9t\u00e9s")]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(4)]), pa.array([y for y, _ in examples], pa.int32()), pa.array([t for _, t in examples])], names=["id", "y", "t"])
+    want = {}
+    for y, t in examples:
+        words = word.findall(t.lower())
+        for term in {*words, *("^" + w[:5] for w in words if len(w) > 5)}:
+            n, toxic = want.get(term, (0, 0))
+            want[term] = n + 1, toxic + y
+    got = [r for b in toxicity._term_frequencies(iter([batch])) for r in b.to_pylist() if r["term"] is not None]
+    assert {r["term"]: (r["n"], r["toxic"]) for r in got} == want and len(got) == len(want)
+    assert [r for b in toxicity._term_frequencies(iter([batch.slice(2, 1)])) for r in b.to_pylist()] == []
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["tree", "house", "river", "cloud"]) for _ in range(20)) + (" vile" if i % 5 == 0 else "")) for i in range(400)]
